@@ -290,7 +290,7 @@ class WordBpe:
         """The words of a text without white space or special tokens, normalised, in the byte alphabet."""
         chunk = unicodedata.normalize("NFC", chunk)
         low = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-        if low.isascii():
+        if low.isascii() and low.isprintable():
             return self.words.findall(low)
         letters = self.alphabet
         return ["".join([letters[b] for b in w.encode()]) for w in self.words.findall(low)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe
+from netloom.llm import bpe, packing, token_store
 from netloom.llm.common import documents
 
 
@@ -14,9 +14,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op4_token_store": op4_token_store,
+        "op8_packing": op8_packing,
     }
 
 
