@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import bpe, packing, quality, secret_scan, token_store
+from netloom.llm import ann, bpe, embed_dedup, packing, quality, secret_scan, token_store
 from netloom.llm.common import documents, table
 
 
@@ -22,10 +23,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -34,8 +43,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_token_store": op4_token_store,
+        "op6_embed_dedup": op6_embed_dedup,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
+        "op9_ann": op9_ann,
         "op10_secret_scan": op10_secret_scan,
     }
 
