@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import vectors as V
+from netloom.llm.cells import in_cells
 from netloom.llm.common import materialize
 from netloom.llm.components import components
 
@@ -80,10 +81,10 @@ def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
 
 def _cell(rows: list[tuple], table: int, same: bool, threshold: float) -> tuple[list, list]:
     """(vec_id, links) and forest edges (vec_id, vec_id) of the pairs of a cell that first meet in this table."""
-    ids = np.array([r[0] for r in rows], np.int64)
-    x = np.stack([np.frombuffer(r[1], np.float64) for r in rows])
-    keys = np.stack([np.frombuffer(r[2], np.int64) for r in rows])[:, :table]
-    side = np.array([r[3] for r in rows], np.int64)
+    side = np.array([r[0] for r in rows], np.int64)
+    ids = np.array([r[1] for r in rows], np.int64)
+    x = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
+    keys = np.stack([np.frombuffer(r[3], np.int64) for r in rows])[:, :table]
     left = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
     counts, parent = np.zeros(len(rows), np.int64), list(range(len(rows)))
@@ -123,49 +124,12 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table = materialize(hashed(good, k, tables))
     each = table.withColumn("keys_list", F.expr(f"transform(sequence(0, {tables - 1}), i -> substring(keys, i * 8 + 1, 8))"))
     each = each.select("vec_id", "x", "keys", F.posexplode("keys_list").alias("t", "key"))
-    sizes = each.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = each.join(sizes, ["t", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = inside.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = inside.select(
-        "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "vec_id", "x", "keys",
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, out = [], None, ([], [], [])
-
-        def work() -> None:
-            counts, edges = _cell(held, now[0], now[2] == now[3], threshold)
-            for i, n in counts:
-                out[0].append(i), out[1].append(n), out[2].append(None)
-            for i, j in edges:
-                out[0].append(i), out[1].append(0), out[2].append(j)
+    def work(key: tuple, same: bool, rows: list[tuple]) -> list[tuple]:
+        counts, edges = _cell(rows, key[0], same, threshold)
+        return [(i, n, None) for i, n in counts] + [(i, 0, j) for i, j in edges]
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["vec_id", "n_links", "other"])
-            for c in out:
-                c.clear()
-            return batch
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
-                if row[:4] != now:
-                    if len(held) > 1:
-                        work()
-                    held, now = [], row[:4]
-                held.append(row[4:])
-            if len(out[0]) > 10_000:
-                yield flush()
-        if len(held) > 1:
-            work()
-        if out[0]:
-            yield flush()
-
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(run, "vec_id long, n_links long, other long")
+    return in_cells(each.select("t", "key", "vec_id", "x", "keys"), ["t", "key"], "vec_id", BLOCK, work, ["vec_id", "n_links", "other"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import ann, bpe, embed_dedup, packing, quality, secret_scan, token_store
+from netloom.llm import ann, bpe, embed_dedup, ngram_join, packing, quality, secret_scan, token_store
 from netloom.llm.common import documents, table
 
 
@@ -23,6 +23,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_token_store": op4_token_store,
+        "op5_ngram_join": op5_ngram_join,
         "op6_embed_dedup": op6_embed_dedup,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
