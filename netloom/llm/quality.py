@@ -172,6 +172,18 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least so much. One pass, no shuffle."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array([statistics(t) for t in batch.column(place).to_pylist()], np.float64)
+            yield batch.filter(pa.array(forest.scores(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels))
