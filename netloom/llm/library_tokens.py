@@ -10,6 +10,7 @@ import gc
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ class LibraryTokens:
         self.special = re.compile("|".join(special)) if special else None
         # a pre-tokenizer that keeps white space puts one space before the word; the other kind drops white space
         self.keeps_space = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        self.lowers = not self.keeps_space and [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"]
         white = rf"[{WHITE}]"
         self.kept = re.compile(rf" ?[^{WHITE}]+|{white}+(?![^{WHITE}])|{white}+")
         self.quick = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -43,6 +46,8 @@ class LibraryTokens:
         self.cache = TwoGenerations(cached_chunks)
 
     def chunks(self, text: str) -> list[str]:
+        if self.lowers and "<" not in text and "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()  # as the normalizer does; fewer distinct chunks
         odd = ODD_SPACE.search(text)
         if self.keeps_space:
             return (self.kept if odd else self.quick).findall(text)
