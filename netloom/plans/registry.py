@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.plans import audit_queries, flow_queries, quality_queries
+from netloom.plans.base import Query
+
+
+def _all() -> dict[str, Query]:
+    return flow_queries.QUERIES | audit_queries.QUERIES | quality_queries.QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in _all().items() if q.sql}
