@@ -98,7 +98,7 @@ def plan(level: int, t: float = PERCENT / 100) -> tuple[int, int]:
     return _PLANS[level, t]
 
 
-def exact_levels(size: int, t: float) -> list[int]:
+def size_bands(size: int, t: float) -> list[int]:
     """Size bands a set takes part in: its own, and the next if it can be a partner there."""
     level = size.bit_length() - 1
     return [level, level + 1] if size >= t * 2 ** (level + 1) else [level]
@@ -107,7 +107,7 @@ def exact_levels(size: int, t: float) -> list[int]:
 def band_keys(hashes: np.ndarray, t: float = PERCENT / 100) -> np.ndarray:
     """64-bit keys of the bands with two or more shingles. Sets of at most SMALL shingles have exact keys instead."""
     out = []
-    for level in exact_levels(len(hashes), t):
+    for level in size_bands(len(hashes), t) if len(hashes) else ():
         if 2 ** (level + 1) <= SMALL:
             out.append(small_keys(hashes, level, t))
             continue
