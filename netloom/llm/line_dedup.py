@@ -5,7 +5,7 @@ sends the line to the leaf of its token count and its LEAD leading tokens. A lea
 most documents have; lines of the leaf that agree with it in SIMILAR tenths of the places or more are its template
 with further variable fields, others are templates of their own. A template that recurs in MIN_DOCS or more
 documents is dropped wherever it stands. Copies of a document count once: documents are told apart by the least
-hash of their lines, so that a group of copies does not lose its text for being copied.
+hash of their other lines, so that a group of copies does not lose its text for being copied.
 
 Rows: a null text counts as empty; lines of fewer than MIN_TOKENS tokens, blank ones among them, always stay;
 repeated rows are judged alike; a null doc_id takes part; other columns are kept as they are; an empty table gives
@@ -53,8 +53,9 @@ def _small(df: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """_key, gone (array of line positions) of the rows that lose lines. docs has _key, doc_id and text."""
     lines = materialize(parsed(docs))
-    signature = lines.groupBy("_key").agg(F.min("h").alias("sig"))
-    short = lines.select("_key", "pos", "leaf", "h").join(signature, "_key")
+    least = lines.groupBy("_key").agg(F.slice(F.array_sort(F.collect_set("h")), 1, 2).alias("least"))
+    other = F.when(F.col("h") == F.col("least")[0], F.coalesce(F.get("least", F.lit(1)), "h")).otherwise(F.col("least")[0])
+    short = lines.select("_key", "pos", "leaf", "h").join(least, "_key").select("_key", "pos", "leaf", "h", other.alias("sig"))
     seen = short.select("leaf", "sig").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     live = _small(materialize(seen.where(F.col("n") >= min_docs).select("leaf")))
     places = materialize(short.join(live, "leaf", "left_semi"))
@@ -99,7 +100,8 @@ lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscr
 clean AS (SELECT k, pos, regexp_replace(trim(regexp_replace(line, '[\t\r\f\x0B ]+', ' ', 'g'), ' '), '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS masked FROM lines),
 parsed AS (SELECT k, pos, masked, string_split(masked, ' ') AS tokens, md5(masked) AS h FROM clean),
 leaved AS (SELECT k, pos, masked, h, len(tokens) AS n, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM parsed WHERE len(tokens) >= 3),
-signed AS (SELECT *, min(h) OVER (PARTITION BY k) AS sig FROM leaved),
+least AS (SELECT k, list_sort(list(DISTINCT h)) AS hs FROM leaved GROUP BY k),
+signed AS (SELECT leaved.*, CASE WHEN h = hs[1] THEN coalesce(hs[2], h) ELSE hs[1] END AS sig FROM leaved JOIN least USING (k)),
 live AS (SELECT leaf FROM signed GROUP BY leaf HAVING count(DISTINCT sig) >= 5),
 places AS (SELECT * FROM signed WHERE leaf IN (SELECT leaf FROM live)),
 kinds AS (SELECT leaf, h, any_value(masked) AS masked, any_value(n) AS n, count(DISTINCT sig) AS c FROM places GROUP BY leaf, h),
