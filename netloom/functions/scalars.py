@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that mean "no value" in text fields.
 NULL_WORDS = ("", "nan", "none", "null", "-", "unknown")
@@ -163,12 +167,32 @@ def fingerprint(*columns: tuple[str, Column]) -> Column:
     parts = []
     for kind, c in columns:
         if kind == "number":
-            c = F.when(c == 0.0, F.lit(0.0)).otherwise(c)
-            c = F.round(c * 1_000_000).cast("long")  # micro-units: text of a double is engine-specific
+            c = c.cast("double")
+            c = F.when(c == 0.0, F.lit(0.0)).otherwise(c)  # -0 as 0; the shortest text of a double names just that double
         parts.append(F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string"))))
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+@F.pandas_udf(StringType())
+def full_category_token(values: pd.Series) -> pd.Series:
+    """category_token for any script: compatibility-normalised and case-folded."""
+    text = lambda v: "missing:" if v is None else "value:" + unicodedata.normalize("NFKC", v).strip().casefold()
+    return values.map(text, na_action=None)
+
+
+@F.pandas_udf(StringType())
+def big_endian_hex(values: pd.Series) -> pd.Series:
+    """The 16 hex digits of a double's bits, -0 as 0; null stays null and what is not finite raises."""
+    def text(v):
+        if v is None or v != v:
+            return None
+        if v in (float("inf"), float("-inf")):
+            raise ValueError("an identity takes finite numbers only")
+        return struct.pack(">d", v + 0.0).hex()
+
+    return values.map(text, na_action=None)
+
+
 def tolerance(unit: str) -> float:
     """Absolute tolerance of a unit when two extractors are compared."""
     # Fixed values.
