@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
+from netloom.operators.running import quantiles
 
 # The families that models may know, those held out, and the spellings of each.
 KNOWN = ("Normal", "DoS", "Exploits", "Reconnaissance", "Generic")
@@ -105,12 +106,11 @@ def unseen_report(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
 
 
 def robust_fit(train: DataFrame, features: list[str]) -> DataFrame:
-    """feature, center, scale: median and interquartile range (1 where it is 0), exact, in one pass."""
-    q = [F.percentile(F.col(f), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features]
-    row = train.agg(*q)
-    stacked = row.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("q")) for f in features))).alias("x")).select("x.*")
-    width = F.col("q")[2] - F.col("q")[0]
-    return stacked.select("feature", F.col("q")[1].alias("center"), F.when(width == 0, 1.0).otherwise(width).alias("scale"))
+    """feature, center, scale: median and interquartile range (1 where it is 0), exact."""
+    values = train.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("v")).select("v.*")
+    stacked = quantiles(values, ["feature"], "x", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    width = F.col("q3") - F.col("q1")
+    return stacked.select("feature", F.col("q2").alias("center"), F.when(width == 0, 1.0).otherwise(width).alias("scale"))
 
 
 def robust_apply(df: DataFrame, fitted: DataFrame, features: list[str], clip: float = 10.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
+from netloom.operators.running import quantiles, running
 
 STATS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -18,37 +19,31 @@ def long(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> Da
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, n, min, p50, p90, p95, p99, max, mean of each column, exact and linear between values."""
-    q = F.percentile("x", F.array(*map(F.lit, STATS.values())))
-    out = long(df, columns).where("x IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"), F.avg("x").alias("mean"))
-    return out.select("name", "n", "min", *(F.col("q")[i].alias(k) for i, k in enumerate(STATS)), "max", "mean")
+    values = long(df, columns).where("x IS NOT NULL")
+    basic = values.groupBy("name").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"))
+    return quantiles(values, ["name"], "x", STATS).join(basic, "name").select("name", "n", "min", *STATS, "max", "mean")
 
 
 def feature_summary(df: DataFrame, features: list[str]) -> DataFrame:
     """name, n, missing, min, quartiles, max, constant, near_constant (a value with 99 % or more)."""
     values = long(df, features)
     top = values.where("x IS NOT NULL").groupBy("name", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("name").agg(F.max("c").alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct"))
-    stats = values.groupBy("name").agg(
-        F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("min"), F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max("x").alias("max")
-    )
-    joined = stats.join(top, "name", "left")
-    quartiles = [F.col("q")[i].alias(f"q{i + 1}") for i in range(3)]
-    return joined.select("name", F.coalesce("n", F.lit(0)).alias("n"), "missing", "min", *quartiles, "max", (F.col("distinct") <= 1).alias("constant"), (F.col("top") >= 0.99 * F.col("n")).alias("near_constant"))
+    stats = values.groupBy("name").agg(F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quarters = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    joined = stats.join(top, "name", "left").join(quantiles(values, ["name"], "x", quarters).drop("n"), "name", "left")
+    return joined.select("name", F.coalesce("n", F.lit(0)).alias("n"), "missing", "min", *quarters, "max", (F.col("distinct") <= 1).alias("constant"), (F.col("top") >= 0.99 * F.col("n")).alias("near_constant"))
 
 
 def calibrated(df: DataFrame, scores: list[str], normal: F.Column, fpr: float = 0.01) -> DataFrame:
     """name, threshold: the (1 - fpr) quantile of each score over normal rows."""
-    return long(df.where(normal), scores).groupBy("name").agg(F.percentile("x", F.lit(1.0 - fpr)).alias("threshold"), F.count("x").alias("n"))
+    return quantiles(long(df.where(normal), scores), ["name"], "x", {"threshold": 1.0 - fpr}).select("name", "threshold", "n")
 
 
 def upper_quantile(df: DataFrame, score: str, q: float = 0.99) -> DataFrame:
-    """threshold: the least value with at least the share q of the others at or below it (never between values).
-
-    Values are counted first, so that the cumulative pass runs over distinct scores only.
-    """
+    """threshold: the least value with at least the share q of the others at or below it (never between values)."""
     counts = df.groupBy(F.col(score).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(total))
-    return running.where(F.col("upto") >= F.ceil((F.col("n") - 1) * q) + 1).agg(F.min("x").alias("threshold"))
+    run = running(counts, [], "x", ["c"])
+    return run.where(F.col("upto_c") >= F.ceil((F.col("all_c") - 1) * q) + 1).agg(F.min("x").alias("threshold"))
 
 
 def identity_means(df: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -58,10 +53,8 @@ def identity_means(df: DataFrame, keys: list[str], score: str) -> DataFrame:
 def ranking(df: DataFrame, score: str, positive: F.Column, keys: list[str] | None = None) -> DataFrame:
     """keys, positives, negatives, auroc, average_precision: by counts at distinct scores, ties shared."""
     keys = keys or []
-    at = df.groupBy(*keys, F.col(score).alias("x")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    run = at.select(*keys, "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    at = df.groupBy(*keys, (-F.col(score)).alias("x")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    run = running(at, keys, "x", ["p", "n"]).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp"})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + F.col("n") * F.col("p") / 2.0)
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     out = run.groupBy(*keys).agg(F.max("all_p").alias("positives"), F.max("all_n").alias("negatives"), area.alias("area"), ap.alias("ap"))
@@ -80,9 +73,8 @@ def alert_rates(df: DataFrame, score: str, positive: F.Column, threshold: float,
 
 def operating_point(df: DataFrame, score: str, positive: F.Column, budget: float) -> DataFrame:
     """threshold, tpr, fpr: the highest TPR with an FPR within the budget, of equals the one nearest to it."""
-    at = df.groupBy(F.col(score).alias("x")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    down, whole = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    run = at.select(F.col("x").alias("threshold"), (F.sum("p").over(down) / F.sum("p").over(whole)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(whole)).alias("fpr"))
+    at = df.groupBy((-F.col(score)).alias("x")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    run = running(at, [], "x", ["p", "n"]).select((-F.col("x")).alias("threshold"), (F.col("upto_p") / F.col("all_p")).alias("tpr"), (F.col("upto_n") / F.col("all_n")).alias("fpr"))
     return run.where(F.col("fpr") <= budget).orderBy(F.desc("tpr"), F.desc("fpr"), F.desc("threshold")).limit(1)
 
 
@@ -174,8 +166,9 @@ def compare_columns(df: DataFrame, pairs: list[tuple[str, str]], tolerance: floa
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("name"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in pairs)))
     v = df.select(each.alias("v")).select("v.*").withColumn("e", F.abs(F.col("a") - F.col("b")))
     both = F.col("e").isNotNull()
-    return v.groupBy("name").agg(
+    out = v.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("exact"), F.count_if(both & (F.col("e") <= tolerance)).alias("within"),
         F.count_if(F.col("a").isNull() != F.col("b").isNull()).alias("null_mismatch"), F.count_if(both & (F.signum("a") != F.signum("b"))).alias("sign_mismatch"),
-        F.avg("e").alias("mean_error"), F.max("e").alias("max_error"), F.percentile("e", F.lit(0.95)).alias("p95_error"),
+        F.avg("e").alias("mean_error"), F.max("e").alias("max_error"),
     )
+    return out.join(quantiles(v, ["name"], "e", {"p95_error": 0.95}).drop("n"), "name", "left")

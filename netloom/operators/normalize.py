@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
+from netloom.operators.running import quantiles
 
 # The 25 core features, and the column names that vendors give each target.
 CORE_FEATURES = (
@@ -122,7 +123,7 @@ def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str
         if mapped["dur"] == "flow_duration":
             derive("dur", out["dur"] / 1e6)
         else:  # exporters in milli- or microseconds, told by the median: one scalar of the batch
-            median = df.groupBy(*(scope or [])).agg(F.percentile(S.number(col(mapped["dur"])), F.lit(0.5)).alias("_median"))
+            median = quantiles(df.select(*(scope or []), out["dur"].alias("_d")), list(scope or []), "_d", {"_median": 0.5}).drop("n")
             out["dur"] = out["dur"] / F.when(F.col("_median") > 100000, 1e6).when(F.col("_median") > 1000, 1000.0).otherwise(1.0)
     elif "stime" in mapped and "ltime" in mapped:
         start, end = S.event_time(col(mapped["stime"])), S.event_time(col(mapped["ltime"]))
