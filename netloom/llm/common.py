@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,7 +40,14 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them again."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:  # the rows are safe in the shared folder: the shuffle files behind them can go at once
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

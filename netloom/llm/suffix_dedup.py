@@ -9,7 +9,7 @@ of equal prefixes and drop groups of one:
 2. The second digit is the whole span of a run. Runs whose span occurs twice are repeated in full.
 3. Runs left open are ordered window by window through all WINDOW bytes; equal groups are the repeated windows.
 
-Groups are counted by partial aggregates on 64-bit prefix hashes (plus offsets); the third pass uses 128 bits.
+Groups are counted by partial aggregates on 64-bit prefix hashes, in the last pass with the anchor's offset.
 No group is gathered in a task, so a passage of any frequency costs a row an occurrence and pass.
 
 Rows: a null text counts as empty; texts under WINDOW bytes lose nothing; repeated rows are separate documents and
@@ -25,7 +25,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,24 +94,26 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text. Rows with equal id and text share their key: they lose the same bytes."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+
 def prepared(docs: DataFrame, window: int, digit: int) -> DataFrame:
-    """row, doc_id, n_bytes, full_sha256, anchors (array of hashes, in order), materialized."""
+    """row, doc_id, n_bytes, full_sha256, anchors (array of hashes, in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, task = 0, TaskContext.get().partitionId()
         for batch in slices(batches, 500):
-            rows, sizes, shas, lists = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            sizes, shas, lists = [], [], []
+            for text in batch.column(2).to_pylist():
                 raw = _bytes(text)
-                rows.append((task << 40) + number)
-                number += 1
                 sizes.append(len(raw))
                 shas.append(hashlib.sha256(raw).hexdigest())
                 lists.append(anchors(np.frombuffer(raw, np.uint8), window, digit)[0].view(np.int64) if len(raw) >= window else None)
-            columns = [pa.array(rows, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas), batch.column(1), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_bytes", "full_sha256", "text", "anchors"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_bytes", "full_sha256", "anchors"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_bytes long, full_sha256 string, text string, anchors array<long>")
+    return with_key(docs).mapInArrow(run, "row long, doc_id long, n_bytes long, full_sha256 string, anchors array<long>")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,12 +123,13 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans (array of start, stop) of every row."""
+    """doc_id, n_bytes, full_sha256 of every row, and of those that share a window's anchor with others n_removed, n_spans,
+    kept_sha256, kept (bytes), spans (array of start, stop); null means that nothing goes."""
     table = materialize(prepared(docs, window, digit))
     # pass 1: anchors
     first = table.where("anchors IS NOT NULL").select("row", F.posexplode("anchors").alias("a", "h"))
-    often = _repeated(first, ["h"]).groupBy("row").agg(F.collect_list("a").alias("a"))
-    live = materialize(table.select("row", "text").join(often, "row"))
+    often = _repeated(first, ["h"]).groupBy("row").agg(F.collect_set("a").alias("a"))
+    live = materialize(with_key(docs).select("row", "text").join(often, "row"))
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
@@ -150,7 +152,7 @@ def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFr
     open_anchors = marked.where("whole IS NULL").select("anchor").distinct()
     stand_ins = groups.join(open_anchors, "anchor", "left_semi").select("one.row", "one.a", F.lit(False).alias("whole"))
     lists = marked.select("row", "a", "whole").union(stand_ins).groupBy("row").agg(
-        F.collect_list(F.when(F.col("whole"), F.col("a"))).alias("whole"), F.collect_set(F.when(F.coalesce("whole", F.lit(False)), None).otherwise(F.col("a"))).alias("open")
+        F.collect_set(F.when(F.col("whole"), F.col("a"))).alias("whole"), F.collect_set(F.when(F.coalesce("whole", F.lit(False)), None).otherwise(F.col("a"))).alias("open")
     )
     runs = materialize(live.join(lists, "row").select("row", "text", "whole", "open"))
     for done in (live, spans, marked):
@@ -162,23 +164,25 @@ def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFr
             for row, text, _, open_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if open_:
                     data = np.frombuffer(_bytes(text), np.uint8)
-                    _, _, begin, end = anchors(data, window, digit)
+                    _, at, begin, end = anchors(data, window, digit)
                     chosen = np.sort(np.asarray(open_, np.int64))
-                    begin, size = begin[chosen], end[chosen] - begin[chosen] + 1
+                    at, begin, size = at[chosen], begin[chosen], end[chosen] - begin[chosen] + 1
                     p = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
                     out[0].append(np.full(len(p), row)), out[1].append(p)
-                    out[2].append(Rolling(data).of(p, p + window).view(np.int64)), out[3].append(Rolling(data, 2).of(p, p + window).view(np.int64))
+                    out[2].append(Rolling(data).of(p, p + window).view(np.int64)), out[3].append(np.repeat(at, size) - p)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["row", "p", "h", "g"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int16())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k, safe=False) for c, k in zip(out, kinds, strict=True)], ["row", "p", "h", "j"])
 
     # pass 3: single windows of the open runs and the stand-ins
-    open_windows = runs.select("row", "text", "whole", "open").mapInArrow(windows_of, "row long, p long, h long, g long")
+    open_windows = runs.select("row", "text", "whole", "open").mapInArrow(windows_of, "row long, p int, h long, j short")
     open_windows = materialize(open_windows)
-    more = _repeated(open_windows, ["h", "g"]).groupBy("row").agg(F.collect_list("p").alias("p"))
+    more = _repeated(open_windows, ["h", "j"]).groupBy("row").agg(F.collect_set("p").alias("p"))
     last = runs.select("row", "text", "whole").join(more, "row", "left")
     cut = materialize(last.mapInArrow(_cutter(window, digit), "row long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"))
-    joined = table.select("row", "doc_id", "n_bytes", "full_sha256", "text").join(cut, "row", "left")
-    return joined
+    for done in (runs, open_windows):
+        discard(done)
+    return table.select("row", "doc_id", "n_bytes", "full_sha256").join(cut.dropDuplicates(["row"]), "row", "left")
 
 
 def _cutter(window: int, digit: int):
