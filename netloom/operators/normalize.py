@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
@@ -171,8 +173,12 @@ def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str
             derived.append(name)
     source = df.crossJoin(F.broadcast(median)) if median is not None and not scope else df.join(median, scope) if median is not None else df
     flat = source.select(*(scope or []), *(col(c).alias(f"raw_{c}") for c in keep or []), *(c.alias(n) for n, c in out.items()))
-    size = {n: F.count(F.lit(1)).over(Window.partitionBy(*(scope or []), *keys)).cast("double") if all(k in out for k in keys) else F.lit(1.0) for n, keys in counts.items()}
-    flat = flat.select("*", *(c.alias(n) for n, c in size.items()))
+    base = flat
+    for name, keys in counts.items():
+        if all(k in out for k in keys):
+            flat = _with_count(flat, base, [*(scope or []), *keys], name)
+        else:
+            flat = flat.withColumn(name, F.lit(1.0))
     final = {}
     for name in [c for c in flat.columns if c not in carried]:
         if name in TEXT_COLUMNS:
@@ -194,6 +200,16 @@ def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str
     return flat.select(*carried, *(c.alias(n) for n, c in final.items())), report
 
 
+def _with_count(df: DataFrame, counted: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with the number of rows that share its keys, nulls being a key too.
+
+    The counts are partial aggregates joined back, so that a key with a large share of all rows is no single task.
+    """
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name)).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(sizes, same, "left").drop(*(f"_k_{k}" for k in keys))
+
+
 def aligned(df: DataFrame, features: list[str]) -> DataFrame:
     """Exactly the features, in order; absent ones and what is not finite become 0."""
     return df.select(*(S.finite(F.col(f)).alias(f) if f in df.columns else F.lit(0.0).alias(f) for f in features))
