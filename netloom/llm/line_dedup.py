@@ -17,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize
+from netloom.llm.common import discard, materialize
 
 MIN_DOCS, MIN_TOKENS, LEAD, SIMILAR = 5, 3, 3, 7
-#: Live leaves go to all executors up to so many, else they are joined by a shuffle.
+#: Live leaves, bad lines and places to drop go to all executors up to so many, else they are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -64,6 +64,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     models = kinds.groupBy("leaf").agg(F.max(F.struct("n", "h")).alias("m")).select("leaf", F.col("m.h").alias("model"))
     texts = lines.select("leaf", "h", "masked").join(live, "leaf", "left_semi").groupBy("h").agg(F.min("masked").alias("masked"))
     texts = materialize(texts)
+    discard(lines)
     pairs = kinds.select("leaf", "h").join(models, "leaf").join(texts, "h").join(texts.select(F.col("h").alias("model"), F.col("masked").alias("model_text")), "model")
     agree = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("model_text", " "), lambda a, b: a == b), lambda same: same))
     is_model = 10 * agree >= SIMILAR * F.size(F.split("masked", " "))
@@ -79,7 +80,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     names = docs.columns
     keyed = with_key(docs)
     gone = dropped_lines(keyed.select("_key", "doc_id", "text"), min_docs).withColumnRenamed("gone", "_gone")
-    joined = keyed.join(gone, "_key", "left")
+    gone = materialize(gone)
+    places = gone.agg(F.sum(F.size("_gone")).alias("n")).first().n or 0
+    # the texts stay where they are while the places to drop are few; else both sides are shuffled by the key
+    joined = keyed.join(F.broadcast(gone) if places <= MAX_BROADCAST_ROWS else gone.hint("merge"), "_key", "left")
     lines = F.split(F.col("text"), "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
