@@ -326,7 +326,10 @@ class WordBpe:
         cache = self.cache
         cache.turn()
         old = cache.old
-        self.learn({c for row in chunked for c in row if c not in cache and c not in old})
+        met = set()
+        for row in chunked:
+            met.update(row)
+        self.learn({c for c in met if c not in cache and c not in old})
         for row in chunked:
             yield list(itertools.chain.from_iterable(map(cache.__getitem__, row)))
 

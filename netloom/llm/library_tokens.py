@@ -19,8 +19,11 @@ from netloom.llm.bpe import ODD_SPACE, WHITE
 from netloom.llm.common import TwoGenerations
 
 
+MARKS = ".,!?;:"
+
+
 class LibraryTokens:
-    def __init__(self, path: str, cached_chunks: int = 500_000):
+    def __init__(self, path: str, cached_chunks: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,11 +67,26 @@ class LibraryTokens:
         cache = self.cache
         cache.turn()
         old = cache.old
-        new = list({c for row in chunked if row for c in row if c not in cache and c not in old})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+        met = set()
+        for row in chunked:
+            met.update(row or ())
+        new = [c for c in met if c not in cache and c not in old]
+        ended, need = [], set()
+        for chunk in new:
+            # letters and a run of marks are two words to either pre-tokenizer: the letters are often known already
+            word = chunk.rstrip(MARKS)
+            if len(word) < len(chunk) and word.removeprefix(" ").isalpha():
+                ended.append((chunk, word, chunk[len(word) :]))
+                need.update(ended[-1][1:])
+            else:
+                need.add(chunk)
+        need = [c for c in need if c not in cache and c not in old]
+        for at in range(0, len(need), 5000):
+            part = need[at : at + 5000]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[chunk] = np.array(e.ids, self.dtype).tobytes()
+        for chunk, word, marks in ended:
+            cache[chunk] = cache[word] + cache[marks]
         for text, row in zip(texts, chunked, strict=True):
             yield self.whole(text) if row is None else b"".join(map(cache.__getitem__, row))
 
