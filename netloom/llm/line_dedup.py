@@ -4,8 +4,8 @@ A line is cut at white space; tokens with a digit or @ are variable fields and b
 sends the line to the leaf of its token count and its LEAD leading tokens. A leaf's model is the masked line that
 most documents have; lines of the leaf that agree with it in SIMILAR tenths of the places or more are its template
 with further variable fields, others are templates of their own. A template that recurs in MIN_DOCS or more
-documents is dropped wherever it stands. Copies of a document count once: documents are told apart by the least
-hash of their other lines, so that a group of copies does not lose its text for being copied.
+documents is dropped wherever it stands. Exact copies of a document count once: documents are told apart by a 64-bit
+hash of their whole text.
 
 Rows: a null text counts as empty; lines of fewer than MIN_TOKENS tokens, blank ones among them, always stay;
 repeated rows are judged alike; a null doc_id takes part; other columns are kept as they are; an empty table gives
@@ -36,13 +36,13 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """_key, pos, masked, leaf, h of the lines that can be dropped."""
-    lines = docs.select("_key", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    tokens = lines.select("_key", "pos", masked(F.col("line")).alias("masked"))
+    """_key, doc (hash of the whole text), pos, masked, leaf, h of the lines that can be dropped."""
+    lines = docs.select("_key", F.xxhash64("text").alias("doc"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
+    tokens = lines.select("_key", "doc", "pos", masked(F.col("line")).alias("masked"))
     n = F.size("tokens")
     cut = tokens.withColumn("tokens", F.split("masked", " ")).where(n >= MIN_TOKENS)
     leaf = F.concat_ws(" ", n.cast("string"), F.slice("tokens", 1, LEAD))
-    return cut.select("_key", "pos", "masked", leaf.alias("leaf"), F.md5("masked").alias("h"))
+    return cut.select("_key", "doc", "pos", "masked", leaf.alias("leaf"), F.md5("masked").alias("h"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -53,13 +53,11 @@ def _small(df: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """_key, gone (array of line positions) of the rows that lose lines. docs has _key, doc_id and text."""
     lines = materialize(parsed(docs))
-    least = lines.groupBy("_key").agg(F.slice(F.array_sort(F.collect_set("h")), 1, 2).alias("least"))
-    other = F.when(F.col("h") == F.col("least")[0], F.coalesce(F.get("least", F.lit(1)), "h")).otherwise(F.col("least")[0])
-    short = lines.select("_key", "pos", "leaf", "h").join(least, "_key").select("_key", "pos", "leaf", "h", other.alias("sig"))
-    seen = short.select("leaf", "sig").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    short = lines.select("_key", "doc", "pos", "leaf", "h")
+    seen = short.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     live = _small(materialize(seen.where(F.col("n") >= min_docs).select("leaf")))
     places = materialize(short.join(live, "leaf", "left_semi"))
-    by_line = materialize(places.select("leaf", "h", "sig").distinct())
+    by_line = materialize(places.select("leaf", "h", "doc").distinct())
     kinds = by_line.groupBy("leaf", "h").agg(F.count(F.lit(1)).alias("n"))
     models = kinds.groupBy("leaf").agg(F.max(F.struct("n", "h")).alias("m")).select("leaf", F.col("m.h").alias("model"))
     texts = lines.select("leaf", "h", "masked").join(live, "leaf", "left_semi").groupBy("h").agg(F.min("masked").alias("masked"))
@@ -69,7 +67,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     agree = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("model_text", " "), lambda a, b: a == b), lambda same: same))
     is_model = 10 * agree >= SIMILAR * F.size(F.split("masked", " "))
     templates = pairs.select("h", F.when(is_model, F.col("model")).otherwise(F.col("h")).alias("template"))
-    spread = by_line.join(templates, "h").select("template", "sig").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    spread = by_line.join(templates, "h").select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n"))
     often = spread.where(F.col("n") >= min_docs).select("template")
     bad = materialize(templates.join(often, "template", "left_semi").select("h"))
     return places.join(_small(bad), "h", "left_semi").groupBy("_key").agg(F.collect_set("pos").alias("gone"))
