@@ -85,9 +85,16 @@ def resampled(df: DataFrame, weight: str, n: int, key: str, seed: int = 3) -> Da
     """About n rows drawn with replacement by weight: each row comes Poisson(n w / W) times, by a hash of its key."""
     total = df.agg(F.sum(weight).alias("_W"))
     rate = F.col(weight) / F.col("_W") * n
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    # the inverse of the Poisson distribution, summed term by term
-    state = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
-    step = lambda s, i: F.when(s["c"] >= u, s).otherwise(F.struct((s["p"] * rate / i).alias("p"), (s["c"] + s["p"] * rate / i).alias("c"), (s["k"] + 1).alias("k")))
-    times = F.aggregate(F.sequence(F.lit(1), F.lit(64)), state, step)["k"]
-    return df.crossJoin(F.broadcast(total)).withColumn("_t", times).where("_t > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_t")))).drop("_t", "_c", "_W")
+    # a rate is a sum of equal parts of at most 16, each with a draw of its own: 64 terms hold all of its distribution
+    parts = F.greatest(F.ceil(rate / 16), F.lit(1))
+    part = rate / parts
+
+    def draw(i: F.Column) -> F.Column:
+        u = (F.pmod(F.when(i == 1, F.xxhash64(F.lit(seed), key)).otherwise(F.xxhash64(F.lit(seed), key, i)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        # the inverse of the Poisson distribution, summed term by term
+        state = F.struct(F.exp(-part).alias("p"), F.exp(-part).alias("c"), F.lit(0).alias("k"))
+        step = lambda s, j: F.when(s["c"] >= u, s).otherwise(F.struct((s["p"] * part / j).alias("p"), (s["c"] + s["p"] * part / j).alias("c"), (s["k"] + 1).alias("k")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), state, step)["k"]
+
+    times = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0).cast("long"), lambda n, i: n + draw(i))
+    return df.crossJoin(F.broadcast(total)).withColumn("_t", times).where("_t > 0").withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t")))).drop("_t", "_c", "_W")
