@@ -28,7 +28,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines of recurring templates, and documents that consist of nothing else."""
-    left = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    left = line_dedup.dedup_lines(docs.select(*COLUMNS), short=True)
     return _counted(left.where(~((F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", "[\\s]+", " ")) == ""))))
 
 

@@ -7,7 +7,11 @@ with further variable fields, others are templates of their own. A template that
 documents is dropped wherever it stands. Exact copies of a document count once: documents are told apart by a 64-bit
 hash of their whole text.
 
-Rows: a null text counts as empty; lines of fewer than MIN_TOKENS tokens, blank ones among them, always stay;
+Lines of fewer than MIN_TOKENS tokens take part where `short` says so: they are leaves of their own and go as exact
+templates; those that are variable fields only stand for themselves if they have a letter, else they stay. The SQL, and
+so `report`, leaves short lines where they are.
+
+Rows: a null text counts as empty; blank lines always stay;
 repeated rows are judged alike; a null doc_id takes part; other columns are kept as they are; an empty table gives
 no rows. Only \n ends a line.
 """
@@ -24,10 +28,16 @@ MIN_DOCS, MIN_TOKENS, LEAD, SIMILAR = 5, 3, 3, 7
 MAX_BROADCAST_ROWS = 500_000
 
 
-def masked(line: F.Column) -> F.Column:
-    """The line with single spaces between its tokens and <*> for variable fields."""
-    spaced = F.trim(F.regexp_replace(line, "[\\t\\r\\f\\x0B ]+", " "))
-    return F.regexp_replace(spaced, "(?<![^ ])[^ ]*[0-9@][^ ]*", "<*>")
+def spaced(line: F.Column) -> F.Column:
+    """The line with single spaces between its tokens."""
+    return F.trim(F.regexp_replace(line, "[\\t\\r\\f\\x0B ]+", " "))
+
+
+def masked(spaced: F.Column) -> F.Column:
+    """The line with <*> for variable fields; null for lines that always stay."""
+    fields = F.regexp_replace(spaced, "(?<![^ ])[^ ]*[0-9@][^ ]*", "<*>")
+    own = F.when(spaced.rlike("\\p{L}"), spaced)
+    return F.when(fields.isin("<*>", "<*> <*>"), own).when(fields != "", fields)
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -35,12 +45,12 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
-def parsed(docs: DataFrame) -> DataFrame:
+def parsed(docs: DataFrame, short: bool = False) -> DataFrame:
     """_key, doc (hash of the whole text), pos, masked, leaf, h of the lines that can be dropped."""
     lines = docs.select("_key", F.xxhash64("text").alias("doc"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    tokens = lines.select("_key", "doc", "pos", masked(F.col("line")).alias("masked"))
+    tokens = lines.select("_key", "doc", "pos", spaced(F.col("line")).alias("spaced")).select("_key", "doc", "pos", masked(F.col("spaced")).alias("masked"))
     n = F.size("tokens")
-    cut = tokens.withColumn("tokens", F.split("masked", " ")).where(n >= MIN_TOKENS)
+    cut = tokens.withColumn("tokens", F.split("masked", " ")).where(F.col("masked").isNotNull() if short else n >= MIN_TOKENS)
     leaf = F.concat_ws(" ", n.cast("string"), F.slice("tokens", 1, LEAD))
     return cut.select("_key", "doc", "pos", "masked", leaf.alias("leaf"), F.md5("masked").alias("h"))
 
@@ -50,9 +60,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:
     """_key, gone (array of line positions) of the rows that lose lines. docs has _key, doc_id and text."""
-    lines = materialize(parsed(docs))
+    lines = materialize(parsed(docs, short))
     short = lines.select("_key", "doc", "pos", "leaf", "h")
     seen = short.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     live = _small(materialize(seen.where(F.col("n") >= min_docs).select("leaf")))
@@ -73,11 +83,11 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return places.join(_small(bad), "h", "left_semi").groupBy("_key").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, short: bool = False) -> DataFrame:
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped."""
     names = docs.columns
     keyed = with_key(docs)
-    gone = dropped_lines(keyed.select("_key", "doc_id", "text"), min_docs).withColumnRenamed("gone", "_gone")
+    gone = dropped_lines(keyed.select("_key", "doc_id", "text"), min_docs, short).withColumnRenamed("gone", "_gone")
     gone = materialize(gone)
     places = gone.agg(F.sum(F.size("_gone")).alias("n")).first().n or 0
     # the texts stay where they are while the places to drop are few; else both sides are shuffled by the key

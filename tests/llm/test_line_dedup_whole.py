@@ -20,3 +20,18 @@ def test_documents_of_templates_only_and_exact_copies(spark):
     assert set(kept(spark, logs).values()) == {""}
     copies = ["some text that was copied\nwith a second line here"] * 9
     assert kept(spark, copies) == dict(enumerate(copies))
+
+
+def test_short_lines_go_as_exact_templates_in_the_pipeline(spark):
+    import corpus_pipeline as P
+
+    def left(texts):
+        rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+        return {r.doc_id: r.text for r in P.template_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+
+    short = ["Les.", "And ornd.", "版权所有。", "版权所有2024年。", "me@example.com"]
+    stay = ["", "  ", "42", "3 4"]
+    own = [f"only document {c} has this" for c in "abcdef"]
+    assert left(["\n".join([*short, *stay, o]) for o in own]) == {i: "\n".join([*stay, o]) for i, o in enumerate(own)}
+    four = ["Les.\nonly here", "Les.\nand there", "Les.\nor elsewhere", "Les.\nor nowhere"]
+    assert left(four) == dict(enumerate(four))
