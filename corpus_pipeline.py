@@ -33,11 +33,22 @@ def template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies; documents without an id stay."""
+    """Keeps the document of least id of each group of near copies; documents without an id stay.
+
+    Different texts of one id are documents of their own: each goes by a hash of id and text, after all ids.
+    """
     docs = docs.select(*COLUMNS)
-    groups = ngram_join.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    text = F.xxhash64("doc_id", "text")
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b"))
+    several = ids.where("a <> b").select("doc_id", F.lit(True).alias("_several"))
+    if several.isEmpty():
+        keyed = docs.withColumn("_id", F.col("doc_id"))
+    else:
+        own = F.shiftrightunsigned(text, 2).bitwiseOR(F.lit(1 << 62))
+        keyed = docs.join(several, "doc_id", "left").select(*COLUMNS, F.when(F.col("_several"), own).otherwise(F.col("doc_id")).alias("_id"))
+    groups = ngram_join.near_duplicates(keyed.withColumn("doc_id", F.col("_id")).drop("_id"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    named = keyed.where("_id IS NOT NULL").join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
     return named.union(docs.where("doc_id IS NULL"))
 
 
