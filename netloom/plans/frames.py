@@ -62,7 +62,7 @@ SELECT 'r' || CAST(c_custkey AS STRING) AS rule_id, CAST(1704067200000000000 AS
   'kind' || CAST(c_custkey % 3 AS STRING) AS source_label, CASE WHEN c_custkey % 2 = 0 THEN 'NORMAL' ELSE 'ATTACK' END AS portable_label,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CASE WHEN c_custkey % 4 = 0 THEN 17 ELSE 6 END END AS ip_protocol, '10.0.0.' || CAST(c_custkey % 60 AS STRING) AS source_address,
   CAST(NULL AS STRING) AS destination_address, CAST(NULL AS BIGINT) AS source_port, CASE WHEN c_custkey % 3 = 0 THEN 443 ELSE NULL END AS destination_port
-FROM {customer} WHERE c_custkey <= 400
+FROM {customer}
 """
 FRAMES = {"flows": FLOWS, "families": FAMILIES, "scores": SCORES, "packets": PACKETS, "alerts": ALERTS, "rules": RULES}
 TABLES = ("lineitem", "events", "customer")
