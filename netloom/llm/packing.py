@@ -49,8 +49,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         tokens = library_tokens.loaded(path)
         end = np.array([end_id], tokens.dtype).tobytes()
         chunk, seen = TaskContext.get().partitionId(), {}
-        for batch in slices(batches):
-            ids = [b + end for b in tokens.encode_batch(batch.column(1).to_pylist())]
+        for batch in library_tokens.blocks(batches):
+            ids = [b + end for b in tokens.encode_batch(batch.column(1))]
             counts, before = [len(b) // tokens.width for b in ids], []
             for q, n in zip(batch.column(2).to_pylist(), counts, strict=True):
                 before.append(seen.get(q, 0))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import library_tokens
-from netloom.llm.common import fraction_of, shared_dir, slices
+from netloom.llm.common import fraction_of, shared_dir
 
 MAGIC = b"NLTOKEN1"
 HEADER = struct.Struct("<8sI32s")
@@ -35,6 +35,8 @@ NO_ID = -(1 << 63)
 #: The dictionary is trained on about so many documents, chosen by a hash of doc_id, and so many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16_384, 110 << 10
 LEVEL = 3
+#: Ids sampled for each range of doc_id, and the most ranges.
+IDS_A_FILE, MAX_FILES = 100, 10_000
 
 
 def default_path() -> str:
@@ -47,14 +49,14 @@ def open_store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
+def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from a bounded sample (SAMPLE_DOCS, SAMPLE_BYTES); empty if the sample is too small to train on."""
     sample, _ = fraction_of(docs.select("doc_id", "text"), "doc_id", SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = library_tokens.loaded(path)
-        for batch in slices(batches):
-            ids = [b[:SAMPLE_BYTES] for b in tokens.encode_batch(batch.column(1).to_pylist())]
+        for batch in library_tokens.blocks(batches):
+            ids = [b[:SAMPLE_BYTES] for b in tokens.encode_batch(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     rows = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").limit(2 * SAMPLE_DOCS).collect()]
@@ -130,31 +132,31 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
     """Writes the documents' ids to files under the folder, which all executors must reach.
 
     Returns the files in order of doc_id: name, first id, documents, ids, and the ids of all files before (start).
-    Ranges of doc_id come from approximate quantiles. A task that runs again writes under another name; only the
-    names returned count.
+    Ranges of doc_id are cut at quantiles of a bounded sample of ids, IDS_A_FILE a file and MAX_FILES files at most.
+    A task that runs again writes under another name; only the names returned count.
     """
     path = path or default_path()
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    tasks = files or max(1, docs.rdd.getNumPartitions())
-    n = 3 * tasks
+    n = min(MAX_FILES, files or max(1, docs.rdd.getNumPartitions()))
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    dictionary = train_dictionary(docs, path, end_id)
+    dictionary = train_dictionary(docs, path)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     if dictionary:
         with store.open_output_stream(f"{root}/{digest.hex()}.dict") as f:
             f.write(dictionary)
-    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first().q
-    bounds = np.array(sorted(set(found or ())), np.int64)
+    sample, _ = fraction_of(docs.select("doc_id"), "doc_id", IDS_A_FILE * n)
+    some = np.sort(np.array([r.doc_id for r in sample.where("doc_id IS NOT NULL").limit(2 * IDS_A_FILE * n).collect()], np.int64))
+    bounds = np.unique(some[[len(some) * i // n for i in range(1, n)]]) if len(some) else some
     ends = b"" if end_id is None else end_id
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = library_tokens.loaded(path)
         end = b"" if ends == b"" else np.array([ends], tokens.dtype).tobytes()
         frames = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        for batch in slices(batches):
-            raw = [b + end for b in tokens.encode_batch(batch.column(1).to_pylist())]
+        for batch in library_tokens.blocks(batches):
+            raw = [b + end for b in tokens.encode_batch(batch.column(1))]
             ids = batch.column(0)
             bucket = np.searchsorted(bounds, ids.fill_null(NO_ID).to_numpy(), side="left")
             yield pa.RecordBatch.from_arrays(
@@ -186,7 +188,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
 
     parts = (
         docs.mapInArrow(compress, "doc_id long, bucket int, n long, frame binary")
-        .repartition(tasks, "bucket")
+        .repartitionById(len(bounds) + 1, "bucket")
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
         .mapInArrow(write_files, "bucket long, name string, first_id long, docs long, ids long")
     )
@@ -225,7 +227,7 @@ def _scan(spark: SparkSession, folder: str, files: list[dict], schema: str, last
                     )
                 reader.close()
 
-    return listed.repartition(max(1, len(files) // 3)).mapInArrow(run, schema)
+    return listed.repartition(max(1, len(files))).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int | None = 0) -> DataFrame:

@@ -81,6 +81,19 @@ def test_library_chunks_equal_whole_texts():
             assert np.frombuffer(raw, t.dtype).tolist() == library(path, text), text
 
 
+def test_library_ids_of_random_texts():
+    random = np.random.default_rng(5)
+    letters = [*"ab AB  \n\t'sre.,!éÉßΣİǅ²½५ \x1c\x85\xa0_-\x0012́", "<|endoftext|>", "\u3000"]
+    texts = ["".join(random.choice(letters, size)) for size in random.integers(0, 30, 3000)]
+    texts += ["".join(random.choice([*"ab  \n\t'"], size)) for size in random.integers(0, 12, 2000)]
+    for path in (token_store.default_path(), packing.default_path()):
+        t = library_tokens.LibraryTokens(path, cached_words=500)
+        for at in range(0, len(texts), 700):
+            part = texts[at : at + 700]
+            for text, raw in zip(part, t.encode_batch(part), strict=True):
+                assert np.frombuffer(raw, t.dtype).tolist() == library(path, text), text
+
+
 def test_token_store(spark, docs, empty):
     folder = shared_dir(spark)
     files = token_store.write(docs, folder, files=2)
@@ -106,7 +119,7 @@ def test_token_store(spark, docs, empty):
 def test_token_store_with_dictionary(spark):
     rows = [(i, prose(60, i)) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert token_store.train_dictionary(df, token_store.default_path(), 0)
+    assert token_store.train_dictionary(df, token_store.default_path())
     got = {r.doc_id: r.ids_crc32 for r in token_store.round_trip(df).collect()}
     assert got == {i: zlib.crc32(np.array([*library(token_store.default_path(), t), 0], "<u4").tobytes()) for i, t in rows}
 
