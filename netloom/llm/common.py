@@ -63,6 +63,23 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys go to all executors up to so many rows.
+MAX_KEYS, SALTS = 500_000, 16
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: str, how: str = "left_semi") -> DataFrame:
+    """Joins rows with keys (a materialized table with one row a key). One key may hold any share of the rows.
+
+    Few keys are broadcast, after a count. Else the rows of a key are dealt over SALTS tasks by a hash of the column
+    `spread`, and each key goes to all of them.
+    """
+    if keys.count() <= MAX_KEYS:
+        return rows.join(F.broadcast(keys), on, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that Python objects of few texts live at a time."""
     for batch in batches:

@@ -22,6 +22,14 @@ def test_documents_of_templates_only_and_exact_copies(spark):
     assert kept(spark, copies) == dict(enumerate(copies))
 
 
+def test_a_leaf_has_as_many_templates_as_it_needs(spark):
+    words = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove"]
+    hot = "The user has been logged out by timeout"
+    texts = [f"{hot}\nThe user has opened file {w} in editor\nThe user has closed {w} tabs without saving\nThe user has {w} quite alone here {w}" for w in words]
+    assert kept(spark, texts) == {i: f"The user has {w} quite alone here {w}" for i, w in enumerate(words)}
+    assert kept(spark, texts[:4]) == dict(enumerate(texts[:4]))
+
+
 def test_short_lines_go_as_exact_templates_in_the_pipeline(spark):
     import corpus_pipeline as P
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -41,10 +42,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def library(path, text):
+@cache
+def tokenizer_of(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library(path, text):
+    return tokenizer_of(path).encode(text or "", add_special_tokens=False).ids
 
 
 def test_bpe_equals_library_and_round_trips(docs, empty):
@@ -266,7 +272,11 @@ def test_line_dedup(docs, empty):
     got = {r.doc_id: r for r in line_dedup.report(docs).collect()}
     for i in range(18, 23):
         assert got[i].n_dropped == 1 and got[i].text == TEXTS[i].split("\n")[1]
-    assert got[0].text == "" and got[0].n_lines == 0 and got[7].text == BASE and got[None].text == TEXTS[5]
+    # of the random prose only short lines stand in five texts
+    often = [line for line in BASE.split("\n") if sum(line.strip() in map(str.strip, t.split("\n")) for t in {t or "" for t in TEXTS}) >= 5]
+    assert often and all(len(line.split()) < 3 for line in often)
+    assert got[0].text == "" and got[0].n_lines == 0 and got[None].text == TEXTS[5]
+    assert got[7].text == "\n".join(line for line in BASE.split("\n") if line not in often) and got[7].n_dropped == len(often)
     full = line_dedup.dedup_lines(docs)
     assert full.columns[: len(docs.columns)] == docs.columns and full.count() == docs.count()
     assert line_dedup.report(empty).count() == 0
