@@ -38,9 +38,13 @@ def spaced(line: F.Column) -> F.Column:
     return F.trim(F.when(uneven, F.regexp_replace(line, "[\\t\\r\\f\\x0B ]+", " ")).otherwise(line))
 
 
-def masked(spaced: F.Column) -> F.Column:
-    """The line with <*> for variable fields; null for lines that always stay."""
-    fields = F.when(spaced.rlike("[0-9@]"), F.regexp_replace(spaced, "(?<![^ ])[^ ]*[0-9@][^ ]*", "<*>")).otherwise(spaced)
+def with_fields(spaced: F.Column) -> F.Column:
+    """The line with <*> for variable fields."""
+    return F.when(spaced.rlike("[0-9@]"), F.regexp_replace(spaced, "(?<![^ ])[^ ]*[0-9@][^ ]*", "<*>")).otherwise(spaced)
+
+
+def masked(spaced: F.Column, fields: F.Column) -> F.Column:
+    """The line as it stands for its template; null for lines that always stay."""
     own = F.when(spaced.rlike("\\p{L}"), spaced)
     return F.when(fields.isin("<*>", "<*> <*>"), own).when(fields != "", fields)
 
@@ -52,8 +56,11 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def parsed(docs: DataFrame) -> DataFrame:
     """_key, doc (hash of the whole text), pos, n (tokens), masked, leaf, h of the lines that can be dropped."""
-    lines = docs.select("_key", F.md5("text").alias("doc"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    tidy = lines.select("_key", "doc", "pos", spaced(F.col("line")).alias("spaced")).select("_key", "doc", "pos", masked(F.col("spaced")).alias("masked"))
+    # the hash is taken before the lines part, once a document; exploded arrays of one keep filters from repeating an expression
+    once = lambda c: F.explode(F.array(c))
+    lines = docs.select("_key", F.md5("text").alias("doc"), F.split(F.col("text"), "\n").alias("lines")).select("_key", "doc", F.posexplode_outer("lines").alias("pos", "line"))
+    tidy = lines.select("_key", "doc", "pos", once(spaced(F.col("line"))).alias("spaced")).select("*", once(with_fields(F.col("spaced"))).alias("fields"))
+    tidy = tidy.select("_key", "doc", "pos", masked(F.col("spaced"), F.col("fields")).alias("masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     leaf = F.concat_ws(" ", n.cast("string"), F.substring_index("masked", " ", LEAD))
     return tidy.where("masked IS NOT NULL").select("_key", "doc", "pos", n.alias("n"), "masked", leaf.alias("leaf"), F.md5("masked").alias("h"))
