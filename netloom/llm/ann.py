@@ -1,21 +1,25 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through a shared priority queue.
 
-The trees are grown on a bounded sample (SAMPLE vectors, chosen by a hash of the id): each node splits its
-sample at the median of a random projection. Every vector is then indexed: each tree gives it a leaf. A query
-keeps one priority queue over all trees, ordered by the largest margin crossed on the way to a node, and opens
-leaves until they hold the SEARCH share of the sample in total over the trees. The vectors of the opened leaves
-are the candidates; they are reranked by exact cosine in double precision, block of queries by block of vectors.
+The trees are grown on a bounded sample (SAMPLE vectors, chosen by a hash of the id): each node splits its sample at
+the median of the projection on the difference of two of its vectors. Every vector is then indexed: each tree gives
+it a leaf, and a row with its rounded coordinates (2 bytes each) goes there. A query keeps one priority queue over all
+trees, ordered by the largest margin crossed on the way to a node. It opens leaves until they hold the SEARCH share of
+the sample in total over the trees, or until the margin exceeds its distance to the k-th nearest vector of the sample,
+behind which no leaf can hold a nearer one; it is sent to these leaves only. Large leaves are cut into blocks of
+vectors and of queries. A cell sends on the nearest by rounded coordinates with all that rounding could hide; what is
+left of these over all cells is reranked by exact cosine in double precision.
 
 Copies of one vector: only as many of least id as can be answers take part, which loses none. Rows: vectors
-that are null, zero or hold null or non-finite components take no part, neither do those of another length than
-the sample's most common one; a null vec_id takes no part; an empty table gives no rows.
+that are null, zero or hold null or non-finite components take no part; vectors of different lengths are searched
+apart; an id with several different vectors counts by the nearest of them; repeated rows count once; a null vec_id
+takes no part; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import vectors as V
-from netloom.llm.common import fraction_of, materialize
+from netloom.llm.common import discard, fraction_of, materialize
 
-SAMPLE, TREES, LEAF, SEARCH = 20_000, 6, 32, 1.4
+SAMPLE, TREES, LEAF, SEARCH = 20_000, 12, 32, 1.3
 VECTORS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
+#: More than the cosine of two rounded unit vectors can be wrong by (half precision: 2**-11 of each length).
+ROUNDING = 1.2e-3
+ANSWERS = "query_id long, rank int, vec_id long, score double"
 
 
 class Forest:
@@ -35,104 +42,158 @@ class Forest:
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF):
         random = np.random.default_rng(40_009)
         n, dim = sample.shape
+        self.sample = sample
         self.depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
         inner = 2**self.depth - 1
-        self.directions = random.standard_normal((trees, self.depth, dim))
-        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
+        self.directions = random.standard_normal((trees, inner, dim))
         self.cuts = np.zeros((trees, inner))
         self.leaf_share = np.zeros((trees, 2**self.depth))
         for t in range(trees):
-            heights = sample @ self.directions[t].T if self.depth else np.zeros((n, 0))
             node = np.zeros(n, np.int64)
-            for d in range(self.depth):
-                for i in range(2**d - 1, 2 ** (d + 1) - 1):
-                    mine = heights[node == i, d]
-                    self.cuts[t, i] = np.median(mine) if len(mine) else 0.0
-                node = 2 * node + 1 + (heights[:, d] > self.cuts[t, node])
+            for i in range(inner):
+                mine = np.flatnonzero(node == i)
+                if len(mine) > 1:
+                    a, b = random.choice(mine, 2, replace=False)
+                    if (sample[a] != sample[b]).any():
+                        self.directions[t, i] = sample[a] - sample[b]
+                self.directions[t, i] /= np.linalg.norm(self.directions[t, i])
+                heights = sample[mine] @ self.directions[t, i]
+                self.cuts[t, i] = np.median(heights) if len(mine) else 0.0
+                node[mine] = 2 * i + 1 + (heights > self.cuts[t, i])
             self.leaf_share[t] = np.bincount(node - inner, minlength=2**self.depth) / max(n, 1)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row in each tree."""
-        out = np.empty((len(x), len(self.cuts)), np.int32)
+        """The leaf of each row in each tree, counted through over the trees."""
+        out = np.empty((len(x), len(self.cuts)), np.int64)
         for t in range(len(self.cuts)):
             node = np.zeros(len(x), np.int64)
-            for d in range(self.depth):
-                node = 2 * node + 1 + (x @ self.directions[t, d] > self.cuts[t, node])
-            out[:, t] = node - (2**self.depth - 1)
+            for _ in range(self.depth):
+                node = 2 * node + 1 + ((x * self.directions[t, node]).sum(axis=1) > self.cuts[t, node])
+            out[:, t] = node - (2**self.depth - 1) + (t << self.depth)
         return out
 
-    def opened(self, q: np.ndarray, share: float) -> np.ndarray:
-        """Which leaves of which trees a query opens, nearest margins first, until they hold the share of the sample."""
+    def opened(self, q: np.ndarray, share: float, k: int) -> list[int]:
+        """Leaves that a query opens, nearest margins first."""
         trees, inner = len(self.cuts), 2**self.depth - 1
-        heights = self.directions @ q
-        out, had = np.zeros((trees, 2**self.depth), bool), 0.0
-        queue = [(0.0, t, 0, 0) for t in range(trees)]
+        gaps = (self.directions @ q - self.cuts).tolist()
+        shares = self.leaf_share.tolist()
+        far = np.sort(((self.sample - q) ** 2).sum(axis=1))
+        # the query itself may be in the sample, so one more; rounding must not shut a leaf
+        reach = float(np.sqrt(far[k])) + 1e-6 if len(far) > k else np.inf
+        out, had = [], 0.0
+        queue = [(0.0, t, 0) for t in range(trees)]
         while queue and had < share:
-            margin, t, node, d = heapq.heappop(queue)
+            margin, t, node = heapq.heappop(queue)
+            if margin > reach:
+                break
             while node < inner:
-                gap = heights[t, d] - self.cuts[t, node]
+                gap = gaps[t][node]
                 near = 2 * node + 1 + (gap > 0)
-                heapq.heappush(queue, (max(margin, abs(gap)), t, 4 * node + 3 - near, d + 1))
-                node, d = near, d + 1
-            out[t, node - inner] = True
-            had += self.leaf_share[t, node - inner]
+                heapq.heappush(queue, (max(margin, abs(gap)), t, 4 * node + 3 - near))
+                node = near
+            out.append((t << self.depth) + node - inner)
+            had += shares[t][node - inner]
         return out
 
 
-def search(vectors: DataFrame, queries: F.Column, k: int = 5, share: float = SEARCH, trees: int = TREES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row that `queries` selects, itself excluded."""
-    good = V.usable(vectors)
-    sample = [np.asarray(r.embedding, np.float64) for r in fraction_of(good, "vec_id", SAMPLE)[0].limit(2 * SAMPLE).collect()]
-    dim = Counter(map(len, sample)).most_common(1)[0][0] if sample else 1
-    sample = [v for v in sample if len(v) == dim]
-    forest = Forest(V.unit(np.stack(sample)) if sample else np.zeros((0, dim)), trees)
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(forest)
-    good = materialize(good.where(F.size("embedding") == dim).select("vec_id", F.col("embedding").cast("array<float>")).distinct())
+def _rounded(x: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in x.astype(np.float16)]
+
+
+def _nearest(mine: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """Of each query of a cell the vectors that can be among its k nearest here, by rounded coordinates."""
+    out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if mine.num_rows and asked.num_rows:
+        ids, query_ids = mine.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
+        x, q = (np.frombuffer(b"".join(t.column("x").to_pylist()), np.float16).reshape(t.num_rows, -1).astype(np.float32) for t in (mine, asked))
+        for query_id, scores in zip(query_ids.tolist(), q @ x.T, strict=True):
+            scores[ids == query_id] = -2
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * ROUNDING if len(scores) > k else -1.5
+            at = np.flatnonzero((scores >= least) & (scores > -1.5))
+            out[0].append(np.full(len(at), query_id)), out[1].append(ids[at]), out[2].append(scores[at].astype(np.float64))
+    return pa.table([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "about"])
+
+
+def _cells(rows: DataFrame, plan: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
+    """Rows with their block of the leaf, once for each block of the other side."""
+    placed = rows.join(F.broadcast(plan), "leaf").withColumn(own, F.pmod(F.xxhash64(id_column), F.col(f"{own}_blocks")))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).select("leaf", "v", "q", id_column, "x")
+
+
+def candidates(base: DataFrame, q_rows: DataFrame, forest: Forest, k: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query_id, vec_id, about) of the opened leaves' nearest; the index (leaf, vec_id) and the opened leaves (leaf, query_id)."""
+    shared = base.sparkSession.sparkContext.broadcast(forest)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x = V.unit(np.stack(V.matrix(part.column(1))))
+                leaf = shared.value.leaves(x)
+                trees = leaf.shape[1]
+                rows = [r for r in _rounded(x) for _ in range(trees)]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), trees)), pa.array(rows, pa.binary())], ["leaf", "vec_id", "x"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                x = V.unit(np.stack(V.matrix(part.column(1))))
+                opened = [shared.value.opened(q, share, k) for q in x]
+                sizes = np.array(list(map(len, opened)))
+                rows = [r for r, n in zip(_rounded(x), sizes.tolist(), strict=True) for _ in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(opened).astype(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(rows, pa.binary())], ["leaf", "query_id", "x"])
+
     # of equal vectors the k + 1 least ids are enough: the others come after them in every ranking
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    targets = good.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "embedding")
-    n = good.count()
-    v_blocks, q_rows = max(1, -(-n // VECTORS_A_BLOCK)), good.where(queries)
+    targets = base.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "embedding")
+    asked = materialize(q_rows.mapInArrow(ask, "leaf long, query_id long, x binary"))
+    opened = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES_A_BLOCK).alias("q_blocks"))
+    # no more leaves than the forest of the sample has
+    indexed = materialize(targets.mapInArrow(index, "leaf long, vec_id long, x binary").join(F.broadcast(opened.select("leaf")), "leaf", "left_semi"))
+    plan = materialize(indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTORS_A_BLOCK).alias("v_blocks")).join(opened, "leaf"))
+    left, right = _cells(indexed, plan, "vec_id", "v", "q"), _cells(asked, plan, "query_id", "q", "v")
+
+    def cell(mine: pa.Table, there: pa.Table) -> pa.Table:
+        return _nearest(mine, there, k)
 
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key = ["leaf", "v", "q"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, about double"), indexed, asked
+
+
+def _search(good: DataFrame, dim: int, queries: F.Column, k: int, share: float, trees: int) -> DataFrame:
+    """search() over the usable vectors of one length."""
+    good = good.where(F.size("embedding") == dim)
+    sample = [np.asarray(r.embedding, np.float64) for r in fraction_of(good, "vec_id", SAMPLE)[0].limit(2 * SAMPLE).collect()]
+    forest = Forest(V.unit(np.stack(sample)) if sample else np.zeros((0, dim)), trees)
+    base = materialize(good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).distinct())
+    found, indexed, asked = candidates(base, base.where(queries), forest, k, share)
+    found = materialize(found.groupBy("query_id", "vec_id").agg(F.max("about").alias("about")))
+    discard(indexed), discard(asked)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about")))
+    least = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("query_id").agg(F.min("about").alias("least"))
+    close = found.join(least, "query_id").where(F.col("about") >= F.col("least") - 2 * ROUNDING).select("query_id", "vec_id")
+    pairs = close.join(base, "vec_id").join(base.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                opened = [np.packbits(shared.value.opened(q, share)).tobytes() for q in V.unit(np.stack(V.matrix(batch.column(1))))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opened, pa.binary())], ["vec_id", "embedding", "opened"])
-
-    q_rows = materialize(q_rows.mapInArrow(plan, "vec_id long, embedding array<float>, opened binary"))
-    q_blocks = max(1, -(-q_rows.count() // QUERIES_A_BLOCK))
-    own, far = F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))
-    left = targets.select(own.alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"), "vec_id", "embedding")
-    right = q_rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"), far.alias("qb"), "vec_id", "embedding", "opened")
-
-    def block(mine: pa.Table, asked: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if mine.num_rows and asked.num_rows:
-            forest = shared.value
-            ids, raw = mine.column("vec_id").to_numpy(), np.stack(V.matrix(mine.column("embedding")))
-            x = V.unit(raw)
-            leaf = forest.leaves(x)
-            bits = np.frombuffer(b"".join(asked.column("opened").to_pylist()), np.uint8).reshape(asked.num_rows, -1)
-            bits = np.unpackbits(bits, axis=1, count=leaf.shape[1] << forest.depth).astype(bool).reshape(asked.num_rows, leaf.shape[1], -1)
-            for query_id, q, opened in zip(asked.column("vec_id").to_pylist(), V.unit(np.stack(V.matrix(asked.column("embedding")))), bits, strict=True):
-                hit = np.zeros(len(x), bool)
-                for t in range(leaf.shape[1]):
-                    hit |= opened[t, leaf[:, t]]
-                at = np.flatnonzero(hit & (ids != query_id))
-                scores = x[at] @ q
-                if len(at) > k:
-                    least = np.partition(scores, len(at) - k)[len(at) - k] - 1e-12
-                    at = at[scores >= least]
-                scores = (x[at] * q).sum(axis=1)
-                best = np.lexsort((ids[at], -scores))[:k]
-                out[0].extend([query_id] * len(best)), out[1].extend(ids[at[best]].tolist()), out[2].extend(scores[best].tolist())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(block, "query_id long, vec_id long, score double")
+                x, q = (V.unit(np.stack(V.matrix(batch.column(i)))) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x * q).sum(axis=1))], ["query_id", "vec_id", "score"])
+
+    scored = pairs.select("query_id", "vec_id", "embedding", "q").mapInArrow(exact, "query_id long, vec_id long, score double")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, queries: F.Column, k: int = 5, share: float = SEARCH, trees: int = TREES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row that `queries` selects by vec_id, itself excluded."""
+    good = V.usable(vectors)
+    lengths = sorted(r.n for r in good.select(F.size("embedding").alias("n")).distinct().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], ANSWERS)
+    return reduce(DataFrame.union, [_search(good, n, queries, k, share, trees) for n in lengths])
 
 
 def brute_force(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int = 5) -> list[list[int]]:

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of rows with an id and a vector that is not null, empty or zero and has finite components only."""
+def is_usable() -> F.Column:
+    """Whether a row has an id and a vector that is not null, empty or zero and has finite components only; never null."""
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     some = F.exists(x, lambda v: v != 0.0)
-    return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite & some, F.lit(False)))
+    return F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite & some, F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding of the usable rows."""
+    return vectors.where(is_usable()).select("vec_id", "embedding")
 
 
 def matrix(column: pa.Array) -> list[np.ndarray]:

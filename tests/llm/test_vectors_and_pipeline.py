@@ -118,3 +118,34 @@ def test_pipeline_edge_rows(spark, tmp_path):
 
 def test_registered_queries():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_equal_vectors_are_one_class(spark):
+    rows = spark.range(20_000).selectExpr("id AS vec_id", "CASE WHEN id % 100 = 7 THEN array(1.0D, 0.05D, 0.0D) WHEN id = 50 THEN array(0.0D, 0.0D, -1.0D) ELSE array(2.0D, 0.0D, 0.0D) END AS embedding")
+    got = {(r.n_links, r.component_id, r["count"]) for r in embed_dedup.near_duplicates(rows).groupBy("n_links", "component_id").count().collect()}
+    assert got == {(19_998, 0, 19_999), (0, 50, 1)}
+    members, found = embed_dedup.links(rows)
+    assert members.select("rep").distinct().count() == 3 and found.count() < 20
+
+
+def test_queries_go_to_near_leaves_only(spark):
+    random = np.random.default_rng(8)
+    centres = random.standard_normal((16, 32)) * 5
+    x = np.repeat(centres, 100, axis=0) + random.standard_normal((1600, 32)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    forest = ann.Forest(ann.V.unit(x))
+    found, indexed, asked = ann.candidates(df, df.where("vec_id % 50 = 0"), forest, 5, ann.SEARCH)
+    seen = asked.join(indexed, "leaf").select("query_id", "vec_id").distinct().count()
+    assert seen < 0.2 * 32 * 1600 and indexed.count() <= 1600 * ann.TREES
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = ann.brute_force(x, np.arange(1600), np.arange(0, 1600, 50))
+    assert sum(len(got[50 * i] & set(t)) for i, t in enumerate(truth)) >= 0.95 * 160
+
+
+def test_lengths_are_searched_apart_and_ids_repeat(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.2]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (5, [1e300, 1e299])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(df, F.col("vec_id").isin(1, 3)).collect()}
+    assert got in ({(1, 1): 2, (1, 2): 5, (3, 1): 4}, {(1, 1): 5, (1, 2): 2, (3, 1): 4})
