@@ -6,8 +6,9 @@ it a leaf, and a row with its rounded coordinates (2 bytes each) goes there. A q
 trees, ordered by the largest margin crossed on the way to a node. It opens leaves until they hold the SEARCH share of
 the sample in total over the trees, or until the margin exceeds its distance to the k-th nearest vector of the sample,
 behind which no leaf can hold a nearer one; it is sent to these leaves only. Large leaves are cut into blocks of
-vectors and of queries. A cell sends on the nearest by rounded coordinates with all that rounding could hide; what is
-left of these over all cells is reranked by exact cosine in double precision.
+vectors and of queries. A cell sends on the nearest by rounded coordinates with all that rounding could hide, and none
+that the sample's vectors in the opened leaves already beat; what is left of these over all cells is reranked by exact
+cosine in double precision.
 
 Copies of one vector: only as many of least id as can be answers take part, which loses none. Rows: vectors
 that are null, zero or hold null or non-finite components take no part; vectors of different lengths are searched
@@ -42,7 +43,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF):
         random = np.random.default_rng(40_009)
         n, dim = sample.shape
-        self.sample = sample
+        self.sample, self.sample_leaves = sample, np.zeros((n, trees), np.int32)
         self.depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
         inner = 2**self.depth - 1
         self.directions = random.standard_normal((trees, inner, dim))
@@ -61,6 +62,7 @@ class Forest:
                 self.cuts[t, i] = np.median(heights) if len(mine) else 0.0
                 node[mine] = 2 * i + 1 + (heights > self.cuts[t, i])
             self.leaf_share[t] = np.bincount(node - inner, minlength=2**self.depth) / max(n, 1)
+            self.sample_leaves[:, t] = node - inner + (t << self.depth)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row in each tree, counted through over the trees."""
@@ -72,8 +74,8 @@ class Forest:
             out[:, t] = node - (2**self.depth - 1) + (t << self.depth)
         return out
 
-    def opened(self, q: np.ndarray, share: float, k: int) -> list[int]:
-        """Leaves that a query opens, nearest margins first."""
+    def opened(self, q: np.ndarray, share: float, k: int) -> tuple[list[int], float]:
+        """Leaves that a query opens, nearest margins first, and a cosine that its k nearest there do not fall below."""
         trees, inner = len(self.cuts), 2**self.depth - 1
         gaps = (self.directions @ q - self.cuts).tolist()
         shares = self.leaf_share.tolist()
@@ -93,7 +95,10 @@ class Forest:
                 node = near
             out.append((t << self.depth) + node - inner)
             had += shares[t][node - inner]
-        return out
+        known = np.zeros(trees << self.depth, bool)
+        known[out] = True
+        cosines = self.sample[known[self.sample_leaves].any(axis=1)] @ q
+        return out, float(np.partition(cosines, len(cosines) - k - 1)[len(cosines) - k - 1]) if len(cosines) > k else -1.0
 
 
 def _rounded(x: np.ndarray) -> list[bytes]:
@@ -106,9 +111,11 @@ def _nearest(mine: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     if mine.num_rows and asked.num_rows:
         ids, query_ids = mine.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
         x, q = (np.frombuffer(b"".join(t.column("x").to_pylist()), np.float16).reshape(t.num_rows, -1).astype(np.float32) for t in (mine, asked))
-        for query_id, scores in zip(query_ids.tolist(), q @ x.T, strict=True):
+        for query_id, bound, scores in zip(query_ids.tolist(), asked.column("least").to_pylist(), q @ x.T, strict=True):
             scores[ids == query_id] = -2
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * ROUNDING if len(scores) > k else -1.5
+            least = bound - ROUNDING
+            if len(scores) > k:
+                least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * ROUNDING)
             at = np.flatnonzero((scores >= least) & (scores > -1.5))
             out[0].append(np.full(len(at), query_id)), out[1].append(ids[at]), out[2].append(scores[at].astype(np.float64))
     return pa.table([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "about"])
@@ -117,7 +124,7 @@ def _nearest(mine: pa.Table, asked: pa.Table, k: int) -> pa.Table:
 def _cells(rows: DataFrame, plan: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
     """Rows with their block of the leaf, once for each block of the other side."""
     placed = rows.join(F.broadcast(plan), "leaf").withColumn(own, F.pmod(F.xxhash64(id_column), F.col(f"{own}_blocks")))
-    return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).select("leaf", "v", "q", id_column, "x")
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).drop("v_blocks", "q_blocks")
 
 
 def candidates(base: DataFrame, q_rows: DataFrame, forest: Forest, k: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,15 +146,16 @@ def candidates(base: DataFrame, q_rows: DataFrame, forest: Forest, k: int, share
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 x = V.unit(np.stack(V.matrix(part.column(1))))
-                opened = [shared.value.opened(q, share, k) for q in x]
+                opened, least = zip(*(shared.value.opened(q, share, k) for q in x), strict=True)
                 sizes = np.array(list(map(len, opened)))
                 rows = [r for r, n in zip(_rounded(x), sizes.tolist(), strict=True) for _ in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(opened).astype(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(rows, pa.binary())], ["leaf", "query_id", "x"])
+                columns = (np.concatenate(opened).astype(np.int64), np.repeat(part.column(0).to_numpy(), sizes), np.repeat(np.array(least), sizes))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(rows, pa.binary())], ["leaf", "query_id", "least", "x"])
 
     # of equal vectors the k + 1 least ids are enough: the others come after them in every ranking
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     targets = base.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "embedding")
-    asked = materialize(q_rows.mapInArrow(ask, "leaf long, query_id long, x binary"))
+    asked = materialize(q_rows.mapInArrow(ask, "leaf long, query_id long, least double, x binary"))
     opened = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES_A_BLOCK).alias("q_blocks"))
     # no more leaves than the forest of the sample has
     indexed = materialize(targets.mapInArrow(index, "leaf long, vec_id long, x binary").join(F.broadcast(opened.select("leaf")), "leaf", "left_semi"))
