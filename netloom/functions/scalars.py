@@ -163,13 +163,15 @@ def energy(z: Column, temperature: float = 1.0) -> Column:
 
 
 def fingerprint(*columns: tuple[str, Column]) -> Column:
-    """SHA-256 of tagged columns; doubles by their value with -0 as 0, missing apart from any text."""
+    """SHA-256 of tagged columns: number by its value as double, float as single precision, -0 as 0; text as it stands;
+    missing apart from any text."""
     parts = []
     for kind, c in columns:
-        if kind == "number":
-            c = c.cast("double")
-            c = F.when(c == 0.0, F.lit(0.0)).otherwise(c)  # -0 as 0; the shortest text of a double names just that double
-        parts.append(F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string"))))
+        if kind in ("number", "float"):
+            c = c.cast("double" if kind == "number" else "float")
+            c = F.when(c == 0, F.lit(0).cast("double" if kind == "number" else "float")).otherwise(c)  # the shortest text of a number names just that number
+        text = c.cast("string")
+        parts.append(F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.length(text).cast("string"), F.lit(":"), text)))
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
@@ -193,7 +195,27 @@ def big_endian_hex(values: pd.Series) -> pd.Series:
     return values.map(text, na_action=None)
 
 
-def tolerance(unit: str) -> float:
-    """Absolute tolerance of a unit when two extractors are compared."""
-    # Fixed values.
-    return {"seconds": 1e-6, "milliseconds": 1e-3, "bytes": 0.0, "packets": 0.0, "ratio": 1e-9}.get(unit, 1e-9)
+# Absolute and relative tolerance by unit when two extractors are compared.
+EXACT_UNITS = ("packets", "bytes", "count", "commands", "transactions", "binary", "IP hops", "TCP sequence number")
+ARITHMETIC_UNITS = ("ratio", "log(bytes)", "log(packets)", "log(milliseconds)", "log(bits/second)")
+TIME_UNITS = {"seconds": (1e-9, 1e-12), "milliseconds": (1e-6, 1e-12)}
+
+
+def tolerance(unit: str) -> tuple[float, float]:
+    """(absolute, relative) tolerance of a unit; units that are not declared have to be equal."""
+    if unit in TIME_UNITS:
+        return TIME_UNITS[unit]
+    return (1e-9, 1e-9) if "/second" in unit or unit in ARITHMETIC_UNITS else (0.0, 0.0)
+
+
+def within_tolerance(a: Column, b: Column, unit: str) -> Column:
+    """Whether two values of a unit agree; two missing values do."""
+    absolute, relative = tolerance(unit)
+    close = F.abs(a - b) <= F.greatest(F.lit(absolute), relative * F.greatest(F.abs(a), F.abs(b)))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(close)
+
+
+def require_finite(x: Column, name: str) -> Column:
+    """x as double; a row with a value that is missing, no number, NaN or infinite raises when it is read."""
+    d = finite(x, None)
+    return F.when(d.isNull(), F.raise_error(F.lit(f"{name} has a value that is not finite"))).otherwise(d)

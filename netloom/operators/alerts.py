@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,36 +53,75 @@ def correlated(alerts: DataFrame, least: int = 2) -> DataFrame:
     ).where(F.col("alert_count") >= least)
     nth = F.row_number().over(Window.partitionBy("group_type", "key").orderBy("alert_id"))
     ids = k.select("group_type", "key", "alert_id", nth.alias("n")).where("n <= 10").groupBy("group_type", "key").agg(F.array_sort(F.collect_list("alert_id")).alias("alert_ids"))
-    return counts.join(ids, ["group_type", "key"])
+    return counts.join(ids, ["group_type", "key"]).orderBy(F.desc("alert_count"), F.desc("ood_count"), F.desc("max_risk"), "group_type", "key")
 
 
-def anchored(events: DataFrame, keys: list[str], time_us: str, tie: str, window_us: int) -> DataFrame:
-    """events with cluster (number within the keys): a cluster runs while the time is within the window of its first event.
+#: A span of a key's time is so many windows; spans are worked on apart.
+SPAN = 96
 
-    The anchor is carried along the sorted events. First the key's events are cut where a gap alone exceeds the
-    window: there a new cluster starts whatever the anchor, so only the runs between, which are short, are folded.
-    """
-    order = Window.partitionBy(*keys).orderBy(time_us, tie)
-    gap = F.col(time_us) - F.lag(time_us).over(order) > window_us
-    runs = events.withColumn("_run", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    times = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_set(time_us)).alias("_t"))
-    start = F.struct(F.lit(None).cast("long").alias("a"), F.expr("cast(array() as array<bigint>)").alias("starts"))
-    step = lambda s, t: F.when(s["a"].isNull() | (t - s["a"] > window_us), F.struct(t.alias("a"), F.concat(s["starts"], F.array(t)).alias("starts"))).otherwise(s)
-    starts = times.select(*keys, "_run", F.aggregate("_t", start, step)["starts"].alias("_starts"))
-    joined = runs.join(starts, [*keys, "_run"])
-    return joined.withColumn("cluster_start", F.array_max(F.filter("_starts", lambda s: s <= F.col(time_us)))).drop("_run", "_starts")
 
+def anchored(events: DataFrame, keys: list[str], time_us: str, tie: str, window_us: int) -> DataFrame:
+    """events with cluster_start: a cluster runs while the time is within the window of its first event.
 
-def top_values(rows: DataFrame, keys: list[str], value: F.Column, name: str, top: int = 3) -> DataFrame:
-    """keys, name: the most frequent values, ties by the value."""
-    counts = rows.select(*keys, F.trim(F.coalesce(value, F.lit(""))).alias("_v")).where(~F.lower("_v").isin(*NO_KEY)).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "_v"))
-    best = counts.withColumn("_i", nth).where(F.col("_i") <= top)
-    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(name))
+    A key's distinct times are cut into spans of SPAN windows. Each span says for every time that may start its first
+    cluster where its last cluster then starts; a fold over a key's spans, a few rows each, tells which it is; then
+    each span lists its starts, SPAN + 2 at most, and an event takes the last one before it.
+    """
+    span = SPAN * window_us
+    named = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
+    at = [*keys, "_span"]
+    placed = events.withColumn("_span", F.floor(F.col(time_us) / span).cast("long"))
+    times = placed.select(*at, F.col(time_us).cast("long").alias("_t")).distinct()
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_t"].to_numpy())
+        jump = np.append(np.searchsorted(t, t + window_us, side="right"), len(t))
+        last = np.arange(len(t) + 1)
+        while (jump[:-1] < len(t)).any():
+            last, jump = np.where(jump < len(t), last[jump], last), jump[jump]
+        some = min(len(t), int(np.searchsorted(t, pdf["_span"].iloc[0] * span + window_us, side="right")) + 1)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in at}, "_first": [t[:some]], "_last": [t[last[:some]]]})
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, entries, anchor = pdf.sort_values("_span"), [], None
+        for first, last in zip(pdf["_first"], pdf["_last"], strict=True):
+            entries.append(anchor)
+            i = 0 if anchor is None else int(np.searchsorted(first, anchor + window_us, side="right"))
+            anchor = int(last[i]) if i < len(first) else anchor
+        return pdf[at].assign(_entry=pd.array(entries, "Int64"))
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, entry = np.sort(pdf["_t"].to_numpy()), pdf["_entry"].iloc[0]
+        after = np.searchsorted(t, t + window_us, side="right")
+        found = [] if pd.isna(entry) else [int(entry)]
+        i = int(np.searchsorted(t, found[0] + window_us, side="right")) if found else 0
+        while i < len(t):
+            found.append(int(t[i]))
+            i = int(after[i])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in at}, "_starts": [found]})
+
+    spans = times.groupBy(*at).applyInPandas(exits, f"{named}, _span long, _first array<long>, _last array<long>")
+    entries = spans.groupBy(*keys).applyInPandas(fold, f"{named}, _span long, _entry long")
+    listed = times.join(entries, at).groupBy(*at).applyInPandas(starts, f"{named}, _span long, _starts array<long>")
+    joined = placed.join(listed, at)
+    return joined.withColumn("cluster_start", F.array_max(F.filter("_starts", lambda s: s <= F.col(time_us)))).drop("_span", "_starts")
+
+
+def top_values(rows: DataFrame, keys: list[str], values: dict[str, F.Column], top: int = 3) -> DataFrame:
+    """keys and for each name the most frequent values, ties by the value; null where there are none."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.trim(F.coalesce(v, F.lit(""))).alias("v")) for n, v in values.items()))
+    counts = rows.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*").where(~F.lower("v").isin(*NO_KEY)).groupBy(*keys, "name", "v").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "name").orderBy(F.desc("n"), "v"))
+    best = counts.withColumn("i", nth).where(F.col("i") <= top)
+    in_order = lambda name: F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("i", "v"))))
+    lists = best.groupBy(*keys).agg(*(F.transform(in_order(n), lambda s: s["v"]).alias(n) for n in values))
+    return lists.select(*keys, *(F.when(F.size(n) > 0, F.col(n)).alias(n) for n in values))
 
 
 def incidents(alerts: DataFrame, window_minutes: int = 15, least: int = 2, max_ids: int = 12) -> DataFrame:
     """Correlated alerts in anchored time windows as incidents. alerts: event_time (timestamp) and the alert columns."""
+    if window_minutes <= 0 or least <= 0:
+        raise ValueError("the window and the least number of alerts have to be positive")
     k = keyed(alerts.where("event_time IS NOT NULL"), {t: c for t, c in GROUPS.items() if t != "Batch File"})
     k = k.withColumn("t_us", F.unix_micros("event_time"))
     keys = ["group_type", "key"]
@@ -97,16 +138,15 @@ def incidents(alerts: DataFrame, window_minutes: int = 15, least: int = 2, max_i
     nth = F.row_number().over(Window.partitionBy(*by).orderBy("t_us", "alert_id"))
     ids = rows.select(*by, "t_us", "alert_id", nth.alias("i")).where(F.col("i") <= max_ids)
     ids = ids.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "alert_id"))), lambda s: s["alert_id"]).alias("alert_ids"))
+    tops = {n: F.col(c) for c, n in (("classifier_class", "primary_classes"), ("zero_day_family", "families"), ("src_ip", "source_ips"), ("service", "services")) if c in alerts.columns}
     out = base.join(ids, by)
-    for column, name in (("classifier_class", "primary_classes"), ("zero_day_family", "families"), ("src_ip", "source_ips"), ("service", "services")):
-        if column in alerts.columns:
-            out = out.join(top_values(rows, by, F.col(column), name), by, "left")
+    out = out.join(top_values(rows, by, tops), by, "left") if tops else out
     return out.select(
         F.concat(F.lit("INC-"), F.upper(F.substring(F.sha1(raw_id.cast("binary")), 1, 10))).alias("incident_id"), *keys, F.lit(window_minutes).alias("window_minutes"),
         F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("start_time"), F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("end_time"),
         F.round((F.col("end_us") - F.col("cluster_start")) / 60e6, 1).alias("duration_minutes"), "alert_count", "ood_count", "high_count", "max_risk",
         F.coalesce(named, S.severity_of_risk(F.col("max_risk"))).alias("severity"), *(c for c in ("primary_classes", "families", "source_ips", "services") if c in out.columns), "alert_ids",
-    )
+    ).orderBy(F.desc("max_risk"), F.desc("ood_count"), F.desc("alert_count"), F.desc("end_time"), *keys)
 
 
 def merged(store: DataFrame, changes: DataFrame, version: str) -> DataFrame:

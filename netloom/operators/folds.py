@@ -31,6 +31,14 @@ def leaks(fold: DataFrame) -> DataFrame:
     return several.union(wrong.select("identity", F.array("role")))
 
 
+def require_isolated(fold: DataFrame) -> DataFrame:
+    """The fold, if no identity stands in two roles and no label where it may not be; raises else."""
+    found = leaks(fold).limit(5).collect()
+    if found:
+        raise ValueError(f"the fold leaks: {[(r.identity, list(r.roles)) for r in found]}")
+    return fold
+
+
 def support_tiers(df: DataFrame) -> DataFrame:
     """label, identities, tier, surrogate (the two families with most identities)."""
     counts = df.where(F.col("label").isin(*HELD_OUT)).groupBy("label").agg(F.countDistinct("identity").alias("identities"))

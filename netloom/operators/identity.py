@@ -7,18 +7,73 @@ from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.operators.labels import HELD_OUT, KNOWN
+from netloom.operators.running import running
 
 ROLES = ("train", "val", "meta_known", "calibration")  # in order of priority
 
 
+def _features(df: DataFrame, names: list[str]) -> None:
+    """Labels and metadata (names that start with __) are no features, and all have to be there."""
+    wrong = [c for c in names if c.startswith("__") or c in ("label", "attack_cat", "label_binary")]
+    missing = [c for c in names if c not in df.columns]
+    if wrong or missing or not names:
+        raise ValueError(f"not usable as features: {wrong}; missing: {missing}; {len(names)} columns")
+
+
 def with_identity(df: DataFrame, numbers: list[str], texts: list[str], name: str = "identity") -> DataFrame:
-    """A fingerprint of the named columns; labels and metadata (names that start with __) may not be among them."""
-    wrong = [c for c in [*numbers, *texts] if c.startswith("__") or c in ("label", "attack_cat", "label_binary")]
-    missing = [c for c in [*numbers, *texts] if c not in df.columns]
-    if wrong or missing:
-        raise ValueError(f"not usable as features: {wrong}; missing: {missing}")
-    columns = [("number", F.col(c)) for c in numbers] + [("text", S.category_token(F.col(c))) for c in texts]
-    return df.withColumn(name, S.fingerprint(*columns))
+    """A fingerprint of the named columns as the preprocessing sees them: single precision, texts as they stand."""
+    _features(df, [*numbers, *texts])
+    return df.withColumn(name, S.fingerprint(*(("float", F.col(c)) for c in numbers), *(("text", F.col(c)) for c in texts)))
+
+
+def with_canonical_identity(df: DataFrame, numbers: list[str], texts: list[str], name: str = "identity") -> DataFrame:
+    """A fingerprint in single precision with compatibility-normalised, case-folded categories."""
+    _features(df, [*numbers, *texts])
+    return df.withColumn(name, S.fingerprint(*(("float", F.col(c)) for c in numbers), *(("text", S.full_category_token(F.col(c))) for c in texts)))
+
+
+def with_input_identity(df: DataFrame, matrix: list[str], name: str = "identity") -> DataFrame:
+    """A fingerprint of the single-precision vector that a model is given; a value that is not finite raises."""
+    _features(df, matrix)
+    return df.withColumn(name, S.fingerprint(*(("float", S.require_finite(F.col(c), c)) for c in matrix)))
+
+
+def _share(seed: int, row: str, *more: str) -> F.Column:
+    """A number in [0, 1) from a hash of the row, the same on every engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row).cast("string"), *more))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def reference_share(df: DataFrame, row: str, share: float) -> DataFrame:
+    """reference: whether a row is among the first round(rows * share), one at least and not all, by row number; a
+    single row is reference and evaluation both. The row numbers tell rows apart."""
+    n = df.count()
+    first = max(1, min(n - 1, round(n * share))) if n > 1 else n
+    run = running(df.withColumn("_one", F.lit(1)), [], row, ["_one"])
+    out = run.withColumn("reference", F.col("upto__one") <= first).withColumn("evaluated", (F.col("upto__one") > first) | F.lit(n == 1))
+    return out.drop("_one", "upto__one", "all__one")
+
+
+def row_split(df: DataFrame, seed: int, row: str = "row_id") -> DataFrame:
+    """role: train, val, meta_known or calibration, 70:10:10:10 within each label, row by row: what a split by identity is compared with."""
+    u = _share(seed, row, "label")
+    return df.withColumn("role", F.when(u < 0.7, "train").when(u < 0.8, "val").when(u < 0.9, "meta_known").otherwise("calibration"))
+
+
+def role_intersections(df: DataFrame) -> DataFrame:
+    """left_role, right_role, shared: identities in both of two roles, for the pairs that share any."""
+    return role_overlaps(df).select("left_role", "right_role", "shared")
+
+
+def stratified_split(df: DataFrame, seed: int, parts: dict[str, float], row: str = "row_id") -> DataFrame:
+    """role by random shares within each label. The shares sum to 1."""
+    if abs(sum(parts.values()) - 1) > 1e-9:
+        raise ValueError("the shares of a split sum to 1")
+    u, upto, role = _share(seed, row, "label"), 0.0, None
+    for name, share in parts.items():
+        upto += share
+        role = F.when(u < upto, name) if role is None else role.when(u < upto, name)
+    return df.withColumn("role", role.otherwise(list(parts)[-1]))
 
 
 def taxonomy(df: DataFrame) -> DataFrame:

@@ -37,6 +37,14 @@ def undeclared(df: DataFrame) -> DataFrame:
     return df.where(~F.col("attack_cat").isin(*KNOWN, *HELD_OUT)).groupBy("attack_cat").agg(F.count(F.lit(1)).alias("n"))
 
 
+def require_declared(df: DataFrame) -> DataFrame:
+    """df, if all its families are declared; raises else."""
+    found = undeclared(df).orderBy("attack_cat").limit(5).collect()
+    if found:
+        raise ValueError(f"undeclared families: {[r.attack_cat for r in found]}")
+    return df
+
+
 def feature_columns(columns: list[str]) -> dict[str, F.Column]:
     """The engineered features whose inputs are there, as doubles."""
     c, out = F.col, {}

@@ -42,7 +42,10 @@ def to_contract(raw: DataFrame, row: str, source: str = "cicflowmeter", source_f
     flat, report = normalize(raw, keep=raw.columns)
     mapped = report["mapped_columns"]
     carried = lambda name: F.col(f"`raw_{name}`") if name else F.lit("")
-    time = first_present(have, ["timestamp", "time", "start_time", "ts", "@timestamp"]) or mapped.get("stime")
+    times = [c for c in (first_present(have, ["timestamp", "time", "start_time", "ts", "@timestamp"]), mapped.get("stime")) if c]
+    # the first candidate with any value that can be read
+    read = flat.agg(*(F.max(S.event_time(carried(c)).isNotNull()).alias(f"c{i}") for i, c in enumerate(times))).first() if len(times) > 1 else [True]
+    time = next((c for c, any_ in zip(times, read, strict=False) if any_), None)
     label = "label" if "label" in have else mapped.get("label")
     category = ("attack_cat" if "attack_cat" in have else mapped.get("attack_cat")) or label
     identity = first_present(have, ["flow_id", "flowid", "id"])

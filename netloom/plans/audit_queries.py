@@ -124,11 +124,54 @@ def role_lineage(df: DataFrame) -> DataFrame:
     return I.set_digest(df, "role", "identity")
 
 
-@query("feature_fingerprints", "flows", sql="""
-SELECT count(DISTINCT round(sbytes * 1000000)::VARCHAR || '|' || round(dur * 1000000)::VARCHAR || '|' || coalesce(lower(trim(service)), '-missing-') || '|' || lower(trim(proto))) AS identities, count(*) AS rows FROM flows""")
+#: Values that differ in double precision only, in the sign of zero, or in the case of a text.
+FLOAT_SQL = ", x AS (SELECT *, (sbytes + l_linenumber * 1e-9)::FLOAT AS a, (CASE WHEN l_linenumber % 2 = 0 THEN dur ELSE -0.0 * dur END)::FLOAT + 0::FLOAT AS b, CASE WHEN l_suppkey % 2 = 0 THEN upper(service) ELSE service END AS s FROM flows)"
+
+
+def _close(flows: DataFrame) -> DataFrame:
+    signed = F.when(F.col("l_linenumber") % 2 == 0, F.col("dur")).otherwise(F.lit(-0.0) * F.col("dur"))
+    return flows.select("*", (F.col("sbytes") + F.col("l_linenumber") * F.lit(1e-9)).alias("a"), signed.alias("b"), F.when(F.col("l_suppkey") % 2 == 0, F.upper("service")).otherwise(F.col("service")).alias("s"))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    return df.agg(F.countDistinct("identity").alias("identities"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("feature_fingerprints", "flows", sql=FLOAT_SQL + " SELECT count(DISTINCT a::VARCHAR || '|' || b::VARCHAR || '|' || coalesce(s, '-missing-') || '|' || proto) AS identities, count(*) AS rows FROM x")
 def feature_fingerprints(flows: DataFrame) -> DataFrame:
-    out = I.with_identity(flows, ["sbytes", "dur"], ["service", "proto"])
-    return out.agg(F.countDistinct("identity").alias("identities"), F.count(F.lit(1)).alias("rows"))
+    return _counted(I.with_identity(_close(flows), ["a", "b"], ["s", "proto"]))
+
+
+@query("canonical_fingerprints", "flows", sql=FLOAT_SQL + " SELECT count(DISTINCT a::VARCHAR || '|' || b::VARCHAR || '|' || coalesce(lower(trim(s)), '-missing-') || '|' || lower(trim(proto))) AS identities, count(*) AS rows FROM x")
+def canonical_fingerprints(flows: DataFrame) -> DataFrame:
+    return _counted(I.with_canonical_identity(_close(flows), ["a", "b"], ["s", "proto"]))
+
+
+@query("input_fingerprints", "flows", sql=FLOAT_SQL + " SELECT count(DISTINCT a::VARCHAR || '|' || b::VARCHAR) AS identities, count(*) AS rows FROM x")
+def input_fingerprints(flows: DataFrame) -> DataFrame:
+    return _counted(I.with_input_identity(_close(flows), ["a", "b"]))
+
+
+SHARE_SQL = ", u AS (SELECT *, ('0x' || substr(md5('7|' || row_id || '|' || label), 1, 8))::BIGINT / 4294967296.0 AS u FROM (SELECT * FROM families WHERE label IN ('Normal', 'DoS', 'Exploits', 'Reconnaissance', 'Generic')))"
+
+
+@query("row_split_comparator", "families", sql=SHARE_SQL + """,
+r AS (SELECT identity, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.8 THEN 'val' WHEN u < 0.9 THEN 'meta_known' ELSE 'calibration' END AS role FROM u), d AS (SELECT DISTINCT identity, role FROM r)
+SELECT a.role AS left_role, b.role AS right_role, count(*) AS shared FROM d a JOIN d b ON a.identity = b.identity AND a.role < b.role GROUP BY ALL""")
+def row_split_comparator(df: DataFrame) -> DataFrame:
+    known = I.row_split(df.where(F.col("label").isin("Normal", "DoS", "Exploits", "Reconnaissance", "Generic")), 7)
+    return I.role_intersections(known)
+
+
+@query("stratified_split", "families", sql=SHARE_SQL + " SELECT label, CASE WHEN u < 0.8 THEN 'train' ELSE 'test' END AS role, count(*) AS rows FROM u GROUP BY ALL")
+def stratified_split(df: DataFrame) -> DataFrame:
+    known = df.where(F.col("label").isin("Normal", "DoS", "Exploits", "Reconnaissance", "Generic"))
+    return I.stratified_split(known, 7, {"train": 0.8, "test": 0.2}).groupBy("label", "role").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("reference_share", "families", sql=", n AS (SELECT *, row_number() OVER (ORDER BY row_id) AS i, count(*) OVER () AS n FROM families) SELECT row_id, i <= round(n * 0.7) AS reference, i > round(n * 0.7) AS evaluated FROM n")
+def reference_share(df: DataFrame) -> DataFrame:
+    return I.reference_share(df, "row_id", 0.7).select("row_id", "reference", "evaluated")
 
 
 @query("identity_multiplicity", "families", sql=", m AS (SELECT count(*) AS multiplicity FROM families GROUP BY identity) SELECT multiplicity, count(*) AS identities FROM m GROUP BY 1")

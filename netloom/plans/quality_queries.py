@@ -189,16 +189,21 @@ walk AS (SELECT group_type, key, i, t, t AS anchor FROM e WHERE i = 1
   UNION ALL SELECT e.group_type, e.key, e.i, e.t, CASE WHEN e.t - w.anchor > 900000000 THEN e.t ELSE w.anchor END FROM walk w JOIN e ON e.group_type = w.group_type AND e.key = w.key AND e.i = w.i + 1),
 m AS (SELECT e.*, w.anchor FROM e JOIN walk w USING (group_type, key, i)),
 g AS (SELECT group_type, key, anchor, max(t) AS z, count(*) AS alert_count, count(*) FILTER (WHERE is_zeroday) AS ood_count, count(*) FILTER (WHERE risk >= 70) AS high_count, max(risk) AS max_risk, max(CASE llm_severity WHEN 'HIGH' THEN 3 WHEN 'LOW' THEN 1 ELSE 0 END) AS sr,
-  string_agg(alert_id, ',' ORDER BY t, alert_id) AS ids FROM m GROUP BY ALL HAVING count(*) >= 2)
+  string_agg(alert_id, ',' ORDER BY t, alert_id) AS ids FROM m GROUP BY ALL HAVING count(*) >= 2),
+tv AS (SELECT group_type, key, anchor, unnest(['primary_classes', 'families', 'source_ips', 'services']) AS name, trim(unnest([classifier_class, zero_day_family, src_ip, service])) AS v FROM m),
+tc AS (SELECT group_type, key, anchor, name, v, count(*) AS c FROM tv WHERE lower(v) NOT IN ('', 'normal', 'nan', 'none', 'null', '-', 'unknown') GROUP BY ALL),
+ti AS (SELECT *, row_number() OVER (PARTITION BY group_type, key, anchor, name ORDER BY c DESC, v) AS i FROM tc),
+tops AS (SELECT group_type, key, anchor, string_agg(v, ',' ORDER BY i) FILTER (WHERE name = 'primary_classes') AS primary_classes, string_agg(v, ',' ORDER BY i) FILTER (WHERE name = 'families') AS families,
+  string_agg(v, ',' ORDER BY i) FILTER (WHERE name = 'source_ips') AS source_ips, string_agg(v, ',' ORDER BY i) FILTER (WHERE name = 'services') AS services FROM ti WHERE i <= 3 GROUP BY ALL)
 SELECT 'INC-' || upper(substr(sha1(group_type || '|' || key || '|' || strftime(make_timestamp(anchor), '%Y-%m-%dT%H:%M:%S.%f') || '|' || strftime(make_timestamp(z), '%Y-%m-%dT%H:%M:%S.%f')), 1, 10)) AS incident_id, group_type, key, strftime(make_timestamp(anchor), '%Y-%m-%d %H:%M:%S') AS start_time,
   strftime(make_timestamp(z), '%Y-%m-%d %H:%M:%S') AS end_time, alert_count, ood_count, high_count, max_risk, CASE WHEN sr = 3 THEN 'HIGH' WHEN sr = 1 THEN 'LOW' WHEN max_risk >= 85 THEN 'CRITICAL' WHEN max_risk >= 70 THEN 'HIGH' WHEN max_risk >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  array_to_string(string_split(ids, ',')[1:12], ',') AS alert_ids FROM g"""
+  15 AS window_minutes, round((z - anchor) / 60e6, 1) AS duration_minutes, primary_classes, families, source_ips, services, array_to_string(string_split(ids, ',')[1:12], ',') AS alert_ids FROM g LEFT JOIN tops USING (group_type, key, anchor)"""
 
 
 @query("incidents_time_window", "alerts", sql=INCIDENT_SQL)
 def incidents_time_window(alerts: DataFrame) -> DataFrame:
     out = A.incidents(alerts)
-    return out.select("incident_id", "group_type", "key", "start_time", "end_time", "alert_count", "ood_count", "high_count", "max_risk", "severity", joined("alert_ids"))
+    return out.select("incident_id", "group_type", "key", "start_time", "end_time", "alert_count", "ood_count", "high_count", "max_risk", "severity", "window_minutes", "duration_minutes", *map(joined, ("primary_classes", "families", "source_ips", "services", "alert_ids")))
 
 
 @query("alert_upsert", "alerts", sql="""

@@ -1,13 +1,18 @@
 """Operators on small frames: cumulative sums, joins, purges, splits, alerts."""
 
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.operators import alerts as A
 from netloom.operators import folds as D
 from netloom.operators import identity as I
+from netloom.operators import labels as L
 from netloom.operators import metrics as M
+from netloom.operators import production as P
 from netloom.operators.running import quantiles, running
 
 
@@ -87,9 +92,52 @@ def test_fold_has_no_leak_and_a_planted_one_is_found(spark):
 def test_priority_and_fingerprints(spark):
     df = spark.createDataFrame([("a", "val"), ("a", "train"), ("b", "calibration")], "identity string, role string")
     assert sorted(map(tuple, I.by_priority(df).collect())) == [("a", "train"), ("b", "calibration")]
-    x = spark.createDataFrame([(0.0, None), (-0.0, None), (1e-9, ""), (0.0, "missing:")], "x double, s string")
+    x = spark.createDataFrame([(0.0, None), (-0.0, None), (1e-9, ""), (0.0, "missing:"), (1e-9 + 1e-20, ""), (0.0, "Tcp"), (0.0, " TCP "), (0.0, "\uff34cp")], "x double, s string")
     ids = [r.identity for r in I.with_identity(x, ["x"], ["s"]).collect()]
-    assert ids[0] == ids[1] and len(set(ids)) == 3
+    assert ids[0] == ids[1] and ids[2] == ids[4] and len(set(ids)) == 6
+    ids = [r.identity for r in I.with_canonical_identity(x, ["x"], ["s"]).collect()]
+    assert ids[5] == ids[6] == ids[7] and len(set(ids)) == 4
+    bad = spark.createDataFrame([(float("inf"),)], "x double")
+    with pytest.raises(Exception, match="not finite"):
+        I.with_input_identity(bad, ["x"]).collect()
+    with pytest.raises(ValueError, match="features"):
+        I.with_identity(bad.withColumn("label", F.lit(1)), ["label"], [])
+
+
+def test_gates_raise(spark):
+    good = spark.createDataFrame([("a", "train", "DoS"), ("b", "target", "Worms")], "identity string, role string, label string")
+    assert D.require_isolated(good).count() == 2
+    for extra in (("a", "val", "DoS"), ("c", "train", "Worms")):
+        with pytest.raises(ValueError, match="leaks"):
+            D.require_isolated(good.union(spark.createDataFrame([extra], good.schema)))
+    families = good.select(F.col("label").alias("attack_cat"))
+    assert L.require_declared(families).count() == 2
+    with pytest.raises(ValueError, match="Novel"):
+        L.require_declared(families.union(spark.createDataFrame([("Novel",)], families.schema)))
+
+
+def test_first_time_that_can_be_read(spark):
+    raw = spark.createDataFrame([(1, "no time", "2024-01-02 03:04:05"), (2, "", "2024-01-02 03:04:06")], "n long, timestamp string, stime string")
+    got = sorted((r.source_row, r.event_time) for r in P.to_contract(raw, "n")[0].collect())
+    assert [t for _, t in got] == ["2024-01-02T03:04:05Z", "2024-01-02T03:04:06Z"]
+
+
+def test_tolerances(spark):
+    assert (S.tolerance("seconds"), S.tolerance("bytes"), S.tolerance("bits/second"), S.tolerance("else")) == ((1e-9, 1e-12), (0.0, 0.0), (1e-9, 1e-9), (0.0, 0.0))
+    x = spark.createDataFrame([(1.0, 1.0 + 5e-10), (1.0, 1.0 + 5e-9), (None, None), (1.0, None)], "a double, b double")
+    assert [r[0] for r in x.select(S.within_tolerance(F.col("a"), F.col("b"), "seconds")).collect()] == [True, False, True, False]
+
+
+def test_clusters_follow_their_anchor(spark):
+    rng = random.Random(4)
+    rows = [("k" if i % 3 else "hot", rng.randrange(0, 200_000), i) for i in range(3000)] + [("one", -5, 0), ("hot", 10**7, 1)]
+    df = spark.createDataFrame(rows, "key string, t long, id long")
+    got = {(r.key, r.t, r.id): r.cluster_start for r in A.anchored(df, ["key"], "t", "id", 37).collect()}
+    for key in ("k", "hot", "one"):
+        anchor = None
+        for _, t, i in sorted(r for r in rows if r[0] == key):
+            anchor = t if anchor is None or t - anchor > 37 else anchor
+            assert got[key, t, i] == anchor
 
 
 def test_status_changes(spark):
