@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.cells import in_cells
-from netloom.llm.common import TwoGenerations, discard, materialize, slices
+from netloom.llm.common import TwoGenerations, discard, materialize, slices, spread_join
 from netloom.llm.components import components
 
 N, PERCENT = 5, 75
@@ -246,8 +246,10 @@ def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFram
     docs = docs.select("doc_id", "text")
     every = materialize(sets(docs, n, with_keys=True))
     usable = every.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    reps = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    members = materialize(every.select("doc_id", "n_shingles", "set_id").join(reps, "set_id", "left").select("doc_id", "n_shingles", "rep"))
+    # sets that several documents have; the others stand for themselves
+    several = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_id", "rep"))
+    own = F.when(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
+    members = materialize(spread_join(every.select("doc_id", "n_shingles", "set_id"), several, ["set_id"], "doc_id", "left").select("doc_id", "n_shingles", own))
     first = members.where("rep = doc_id").select("doc_id").distinct()
     keyed = usable.join(first, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     # the least and the greatest member of each bucket, by partial aggregates; buckets of one drop out
@@ -275,7 +277,9 @@ def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFram
         return _across(rows, same, percent)
 
     more = materialize(in_cells(rest, ["key"], "doc_id", BLOCK, work, ["a", "b"]).distinct())
-    found = found.union(_verified(more, docs, percent, n))
+    found = materialize(found.union(_verified(more, docs, percent, n)))
+    for done in (every, several, shared, parts, more):
+        discard(done)
     return members, found
 
 

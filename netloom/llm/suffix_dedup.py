@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import discard, materialize, slices
+from netloom.llm.common import discard, materialize, repeated, slices
 from netloom.llm.ngram_join import mixed
 
 WINDOW, DIGIT = 200, 100
@@ -116,19 +116,13 @@ def prepared(docs: DataFrame, window: int, digit: int) -> DataFrame:
     return with_key(docs).mapInArrow(run, "row long, doc_id long, n_bytes long, full_sha256 string, anchors array<long>")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur more than once. Counts come from partial aggregates."""
-    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(often, keys, "left_semi")
-
-
-def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, full_sha256 of every row, and of those that share a window's anchor with others n_removed, n_spans,
-    kept_sha256, kept (bytes), spans (array of start, stop); null means that nothing goes."""
+    kept_sha256 and, with texts, kept (bytes), spans (array of start, stop); null means that nothing goes."""
     table = materialize(prepared(docs, window, digit))
     # pass 1: anchors
     first = table.where("anchors IS NOT NULL").select("row", F.posexplode("anchors").alias("a", "h"))
-    often = _repeated(first, ["h"]).groupBy("row").agg(F.collect_set("a").alias("a"))
+    often = repeated(first, ["h"], "row").groupBy("row").agg(F.collect_set("a").alias("a"))
     live = materialize(with_key(docs).select("row", "text").join(often, "row"))
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +171,16 @@ def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFr
     # pass 3: single windows of the open runs and the stand-ins
     open_windows = runs.select("row", "text", "whole", "open").mapInArrow(windows_of, "row long, p int, h long, j short")
     open_windows = materialize(open_windows)
-    more = _repeated(open_windows, ["h", "j"]).groupBy("row").agg(F.collect_set("p").alias("p"))
+    more = repeated(open_windows, ["h", "j"], "row").groupBy("row").agg(F.collect_set("p").alias("p"))
     last = runs.select("row", "text", "whole").join(more, "row", "left")
-    cut = materialize(last.mapInArrow(_cutter(window, digit), "row long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"))
+    more_columns = ", kept binary, spans array<struct<start:long,stop:long>>" if texts else ""
+    cut = materialize(last.mapInArrow(_cutter(window, digit, texts), "row long, n_removed long, n_spans long, kept_sha256 string" + more_columns))
     for done in (runs, open_windows):
         discard(done)
     return table.select("row", "doc_id", "n_bytes", "full_sha256").join(cut.dropDuplicates(["row"]), "row", "left")
 
 
-def _cutter(window: int, digit: int):
+def _cutter(window: int, digit: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             out = ([], [], [], [], [], [])
@@ -206,10 +201,12 @@ def _cutter(window: int, digit: int):
                 flips = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 kept = data[~gone].tobytes()
                 out[0].append(row), out[1].append(int(gone.sum())), out[2].append(len(flips) // 2)
-                out[3].append(hashlib.sha256(kept).hexdigest()), out[4].append(kept)
-                out[5].append([{"start": a, "stop": b} for a, b in flips.reshape(-1, 2).tolist()])
+                out[3].append(hashlib.sha256(kept).hexdigest())
+                if texts:
+                    out[4].append(kept), out[5].append([{"start": a, "stop": b} for a, b in flips.reshape(-1, 2).tolist()])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+            n, names = 6 if texts else 4, ["row", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names[:n])
 
     return run
 
@@ -217,4 +214,4 @@ def _cutter(window: int, digit: int):
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     zero = F.lit(0).cast("long")
-    return removed(docs).select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"))
+    return removed(docs, texts=False).select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"))
