@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import string
 import zlib
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.llm import bpe, library_tokens, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, token_store
 from netloom.llm.common import shared_dir
@@ -185,6 +188,55 @@ def test_served_is_monotone_and_exact():
         assert (n.sum(axis=1) == tokens).all() and (np.diff(n, axis=0) >= 0).all() and (n <= totals).all()
 
 
+def played(totals, weights):
+    """Deficit round-robin token by token: which queue gives each token."""
+    left, deficit, out = list(totals), [Fraction(0)] * len(totals), []
+    while any(left):
+        step = min((Fraction(1, 2) - d) / w for d, w, n in zip(deficit, weights, left, strict=True) if n)
+        deficit = [d + step * w for d, w in zip(deficit, weights, strict=True)]
+        s = next(i for i, d in enumerate(deficit) if left[i] and d >= Fraction(1, 2))
+        deficit[s] -= 1
+        left[s] -= 1
+        out.append(s)
+    return out
+
+
+def test_served_agrees_with_played_deficits():
+    random_ = np.random.default_rng(8)
+    for _ in range(12):
+        totals = random_.integers(0, 120, 6)
+        weights = random_.integers(1, 9, 6) / 4
+        order = played(totals.tolist(), [Fraction(w) for w in weights.tolist()])
+        want = np.zeros((len(order) + 1, 6), np.int64)
+        np.cumsum(np.eye(6, dtype=np.int64)[order], axis=0, out=want[1:])
+        assert (packing.served(np.arange(len(order) + 1), totals, weights) == want).all()
+
+
+def test_packing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    rows = [(i, prose(20 + i % 50, i), [None, "", "hot", "hot", "hot", "a", "b", "c", "d", "e"][i % 10]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    ids = {i: [*library(packing.default_path(), t), 1] for i, t, _ in rows}
+    weights = {"hot": 6.0, "": 2.0}
+    for given in (None, weights):
+        pieces = packing.pack(df, length=128, weights=given).collect()
+        check_packing(pieces, ids, 128)
+        assert all(p.queue == rows[p.doc_id][2] for p in pieces)
+        # the documents of a source in the order they are packed in: each group serves its sources in proportion
+        group = {r.source: r.g for r in df.select("source", F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), F.lit(3)).alias("g")).distinct().collect()}
+        totals = {s: sum(len(ids[i]) for i, _, q in rows if q == s) for s in group}
+        share = {s: (given.get(s, 1.0) if given else totals[s]) for s in group}
+        for g in set(group.values()):
+            members, seen = [s for s in group if group[s] == g], dict.fromkeys(group, 0)
+            first = sorted((p.sequence_id, p.offset, p.doc_id) for p in pieces if group[p.queue] == g and p.start == 0)
+            due = []
+            for _, _, doc in first:
+                s, n = rows[doc][2], len(ids[doc])
+                due.append((seen[s] + n / 2) / share[s])
+                seen[s] += n
+            assert due == sorted(due) and sorted(members, key=str) == sorted({rows[d][2] for _, _, d in first}, key=str)
+
+
 def brute_suffix(texts, w):
     seen = {}
     for t in texts:
@@ -314,6 +366,28 @@ def test_novelty_adds_incompressible_strings_only():
     assert not found("passphrase Zk8qPw3LxV7tRm2Yb9 " * 3 + "passphrase")[2:]
 
 
+def test_novelty_recall_and_precision():
+    r = random.Random(5)
+    sets = ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits]
+    parts = "user account session request handler client config value name manager default service factory buffer".split()
+    novelty = secret_scan.Novelty(secret_scan.spelled_words(parts))
+    found = lambda w: bool(secret_scan.novel_spans(f"{prose(30, 1)} the authorization header is {w} {prose(30, 2)}", [], novelty))
+    for letters in sets:
+        for n in (24, 64, 128, 300):
+            words = ["".join(r.choice(letters) for _ in range(n)) for _ in range(20)]
+            assert sum(map(found, words)) >= 19
+    names = [r.choice(parts) + "".join(p.title() for p in r.sample(parts, 3)) + str(r.randrange(10)) for _ in range(60)]
+    assert sum(map(found, names)) <= 3
+
+
+def test_dictionary_of_the_corpus(spark, empty):
+    rows = [(i, f"getUserAccount_{i} = load_session(requestHandler); {'rareword' if i == 3 else ''} café") for i in range(9)] + [(None, None), (50, "")]
+    rows += [(100 + i, "copiedpart") for i in range(20)]
+    got = secret_scan.corpus_words(spark.createDataFrame(rows, "doc_id long, text string")).split()
+    assert {b"User", b"Account", b"session", b"request", b"Handler"} <= set(got) and not {b"rareword", b"copiedpart"} & set(got)
+    assert secret_scan.corpus_words(empty) == b""
+
+
 def test_base_spans_follow_the_patterns():
     import re
 
