@@ -80,19 +80,24 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: str, ho
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def repeated(rows: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """The rows whose key occurs more than once. One key may hold any share of the rows.
+def counted_join(rows: DataFrame, counted: DataFrame, on: list[str], spread: str, how: str, *carried) -> DataFrame:
+    """Joins rows with counted (a materialized table of keys with _n, the rows of each) and its columns `carried`.
 
-    Counts come from partial aggregates. Keys that hold a HOTTEST-th of the rows or more, HOTTEST at most, go to all
+    One key may hold any share of the rows: keys that hold a HOTTEST-th of the rows or more, HOTTEST at most, go to all
     executors, and their rows are dealt over SALTS tasks by a hash of the column `spread`.
     """
-    counted = materialize(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     least = max(2, (counted.agg(F.sum("_n")).first()[0] or 0) // HOTTEST + 1)
     hot = F.broadcast(counted.where(F.col("_n") >= least).select(*on, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     every = F.sequence(F.lit(0).cast("long"), F.when(F.col("_n") >= least, F.lit(SALTS - 1).cast("long")).otherwise(F.lit(0).cast("long")))
     dealt = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    return dealt.join(counted.select(*on, F.explode(every).alias("_salt")), [*on, "_salt"], "left_semi").drop("_salt")
+    return dealt.join(counted.select(*on, F.explode(every).alias("_salt"), *carried), [*on, "_salt"], how).drop("_salt")
+
+
+def repeated(rows: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """The rows whose key occurs more than once. Counts come from partial aggregates."""
+    counted = materialize(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    return counted_join(rows, counted, on, spread, "left_semi")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

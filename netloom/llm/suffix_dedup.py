@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import discard, materialize, repeated, slices
+from netloom.llm.common import counted_join, discard, materialize, repeated, slices
 from netloom.llm.ngram_join import mixed
 
 WINDOW, DIGIT = 200, 100
@@ -139,8 +139,9 @@ def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, texts: bo
 
     # pass 2: whole spans of runs
     spans = materialize(live.mapInArrow(spans_of, "row long, a long, h long, shape long, anchor long"))
-    groups = spans.groupBy("h", "shape").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a")).alias("one"), F.min("anchor").alias("anchor")).where("n > 1")
-    marked = spans.join(groups.select("h", "shape", F.lit(True).alias("whole")), ["h", "shape"], "left").select("row", "a", "anchor", "whole")
+    groups = spans.groupBy("h", "shape").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "a")).alias("one"), F.min("anchor").alias("anchor"))
+    groups = materialize(groups.where("_n > 1"))
+    marked = counted_join(spans, groups, ["h", "shape"], "row", "left", F.lit(True).alias("whole")).select("row", "a", "anchor", "whole")
     marked = materialize(marked)
     # one run of each closed group stands for it in the next pass, if an open run has its anchor
     open_anchors = marked.where("whole IS NULL").select("anchor").distinct()
@@ -149,7 +150,7 @@ def removed(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT, texts: bo
         F.collect_set(F.when(F.col("whole"), F.col("a"))).alias("whole"), F.collect_set(F.when(F.coalesce("whole", F.lit(False)), None).otherwise(F.col("a"))).alias("open")
     )
     runs = materialize(live.join(lists, "row").select("row", "text", "whole", "open"))
-    for done in (live, spans, marked):
+    for done in (live, spans, marked, groups):
         discard(done)
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
