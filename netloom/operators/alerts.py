@@ -174,3 +174,23 @@ def listed(store: DataFrame, limit: int = 200, status: str | None = None) -> Dat
 def queue_summary(alerts: DataFrame) -> DataFrame:
     severity = F.upper(F.coalesce("llm_severity", F.lit("")))
     return alerts.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(severity.isin("CRITICAL", "HIGH")).alias("critical_high"), F.count_if("is_zeroday").alias("ood"), F.floor(F.avg("risk")).alias("mean_risk"))
+
+
+def saved_events(changes: DataFrame) -> DataFrame:
+    """The log entry of each saved alert: alert_id, created_at, event_type, payload_json."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    payload = F.to_json(F.struct(text("source").alias("source"), text("status").alias("status"), text("llm_severity").alias("severity")))
+    return changes.select("alert_id", F.col("updated_at").alias("created_at"), F.lit("saved").alias("event_type"), payload.alias("payload_json"))
+
+
+def status_events(store: DataFrame, changes: DataFrame) -> DataFrame:
+    """The log entry of each status change whose alert the store holds. changes: alert_id, status, note, at."""
+    payload = F.to_json(F.struct("status", F.coalesce("note", F.lit("")).alias("analyst_note")))
+    held = changes.join(store.select("alert_id"), "alert_id", "left_semi")
+    return held.select("alert_id", F.col("at").alias("created_at"), F.lit("status_updated").alias("event_type"), payload.alias("payload_json"))
+
+
+def require_known(missing: DataFrame) -> None:
+    """Raises if there is a change to an alert that the store does not hold."""
+    if unknown := missing.select("alert_id").head(5):
+        raise ValueError(f"alerts not found: {', '.join(str(r['alert_id']) for r in unknown)}")
