@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import alerts as A
 from netloom.operators import candidates as C
+from netloom.operators import gates as G
 from netloom.operators.flows import sessions
 from netloom.plans.base import Query, adder
 from netloom.plans.flow_queries import IDLE, SESSION_SQL
@@ -58,3 +59,17 @@ def alert_event_log(alerts: DataFrame) -> DataFrame:
     named = F.when(F.col("is_zeroday"), F.concat(F.lit("X"), "alert_id")).otherwise(F.col("alert_id"))
     changes = alerts.select(named.alias("alert_id"), F.when(F.col("risk") >= 70, "open").otherwise("closed").alias("status"), F.col("analyst_note").alias("note"), F.col("event_time").alias("at"))
     return A.saved_events(store).unionByName(A.status_events(store, changes))
+
+
+@query("clean_rows", "flows", sql="""
+, d AS (SELECT DISTINCT srcip, dstip, proto, CASE WHEN sloss <> 0 THEN dttl END AS load FROM flows)
+SELECT srcip, count(*) AS n, count(load) AS finite FROM d GROUP BY srcip""")
+def clean_rows(flows: DataFrame) -> DataFrame:
+    load = F.when(F.col("sloss") == 0, float("inf")).otherwise(F.col("dttl")).alias("load")
+    return G.clean(flows.select("srcip", "dstip", "proto", load)).groupBy("srcip").agg(F.count(F.lit(1)).alias("n"), F.count("load").alias("finite"))
+
+
+@query("capture_scope", "packets", sql="""
+SELECT ip_protocol, count(*) AS n FROM packets WHERE NOT ((src_address = '10.0.0.8' AND dst_address = '10.1.0.1') OR (src_address = '10.1.0.1' AND dst_address = '10.0.0.8')) GROUP BY ip_protocol""")
+def capture_scope(packets: DataFrame) -> DataFrame:
+    return G.outside_scope(packets, "10.1.0.1", "10.0.0.8").groupBy("ip_protocol").agg(F.count(F.lit(1)).alias("n"))
