@@ -16,13 +16,13 @@ from netloom.operators.flows import KEY
 def flow_candidates(sessioned: DataFrame) -> DataFrame:
     """One row a flow: gaps in milliseconds of each side (0 where there are none) and the local TCP state.
 
-    The state is null for other protocols; a reset goes before an end, an end before an establishment.
+    Means come from sums of whole nanoseconds, so that they do not depend on the order of rows. The state is null for other protocols; a reset goes before an end, an end before an establishment.
     """
     order = Window.partitionBy(*KEY, "session", "forward").orderBy("pos")
-    gaps = sessioned.withColumn("_gap", (F.col("timestamp_ns") - F.lag("timestamp_ns").over(order)) / 1e6)
+    gaps = sessioned.withColumn("_gap", F.col("timestamp_ns") - F.lag("timestamp_ns").over(order))
     of = lambda side: F.when(F.col("forward") == side, F.col("_gap"))
-    mean = lambda side: F.coalesce(F.avg(of(side)), F.lit(0.0))
-    jitter = lambda side: F.when(F.count(of(side)) > 1, F.stddev_pop(of(side))).otherwise(0.0)
+    mean = lambda side: F.coalesce(F.try_divide(F.sum(of(side)), F.count(of(side))), F.lit(0.0)) / 1e6
+    jitter = lambda side: F.when(F.count(of(side)) > 1, F.stddev_pop(of(side) / 1e6)).otherwise(0.0)
     has = lambda mask: S.has_flag(F.coalesce("tcp_flags", F.lit(0)), mask)
     syn, both, ack = F.bool_or(has(2) & ~has(16)), F.bool_or(has(2) & has(16)), F.bool_or(has(16))
     state = F.when(F.bool_or(has(4)), "LOCAL_RST").when(F.bool_or(has(1)), "LOCAL_FIN").when(syn & both & ack, "LOCAL_ESTABLISHED").when(syn, "LOCAL_SYN_ONLY").otherwise("LOCAL_OTHER")

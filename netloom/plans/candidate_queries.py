@@ -17,16 +17,15 @@ query = adder(QUERIES)
 
 
 @query("flow_candidates", "packets", sql=SESSION_SQL + """,
-t AS (SELECT *, (timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY ip_protocol, ea, eb, session, fwd ORDER BY pos)) / 1e6 AS gap, coalesce(tcp_flags, 0) AS fl FROM s)
-SELECT arg_min(capture_index, pos) AS first_index, round(coalesce(avg(gap) FILTER (WHERE fwd), 0), 3) AS source_iat_ms, round(coalesce(avg(gap) FILTER (WHERE NOT fwd), 0), 3) AS destination_iat_ms,
-  round(CASE WHEN count(gap) FILTER (WHERE fwd) > 1 THEN stddev_pop(gap) FILTER (WHERE fwd) ELSE 0 END, 1) AS source_jitter_ms,
+t AS (SELECT *, (timestamp_ns - lag(timestamp_ns) OVER (PARTITION BY ip_protocol, ea, eb, session, fwd ORDER BY pos)) AS gap, coalesce(tcp_flags, 0) AS fl FROM s)
+SELECT arg_min(capture_index, pos) AS first_index, coalesce(sum(gap) FILTER (WHERE fwd)::DOUBLE / count(gap) FILTER (WHERE fwd), 0) / 1e6 AS source_iat_ms, coalesce(sum(gap) FILTER (WHERE NOT fwd)::DOUBLE / count(gap) FILTER (WHERE NOT fwd), 0) / 1e6 AS destination_iat_ms,
+  round(CASE WHEN count(gap) FILTER (WHERE fwd) > 1 THEN stddev_pop(gap / 1e6) FILTER (WHERE fwd) ELSE 0 END, 1) AS source_jitter_ms,
   CASE WHEN ip_protocol = 6 THEN CASE WHEN bool_or(fl & 4 <> 0) THEN 'LOCAL_RST' WHEN bool_or(fl & 1 <> 0) THEN 'LOCAL_FIN'
     WHEN bool_or(fl & 18 = 2) AND bool_or(fl & 18 = 18) AND bool_or(fl & 16 <> 0) THEN 'LOCAL_ESTABLISHED' WHEN bool_or(fl & 18 = 2) THEN 'LOCAL_SYN_ONLY' ELSE 'LOCAL_OTHER' END END AS local_state
 FROM t GROUP BY ip_protocol, ea, eb, session""")
 def flow_candidates(packets: DataFrame) -> DataFrame:
     out = C.flow_candidates(sessions(packets, IDLE))
-    rounded = [F.round(c, n).alias(c) for c, n in (("source_iat_ms", 3), ("destination_iat_ms", 3), ("source_jitter_ms", 1))]
-    return out.select("first_index", *rounded, "local_state")
+    return out.select("first_index", "source_iat_ms", "destination_iat_ms", F.round("source_jitter_ms", 1).alias("source_jitter_ms"), "local_state")
 
 
 @query("family_universe", "families", sql="""
