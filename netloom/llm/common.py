@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, pa.Table]]:
+    """The rows of each run of equal keys, which are the first columns and hold no nulls."""
+    held, now = [], None
+    for batch in batches:
+        n = batch.num_rows
+        edges = []
+        for k in range(keys if n > 1 else 0):
+            column = batch.column(k)
+            edges += (pc.indices_nonzero(pc.not_equal(column.slice(1), column.slice(0, n - 1))).to_numpy() + 1).tolist()
+        starts = [0, *sorted(set(edges))] if n else []
+        for a, b in zip(starts, [*starts[1:], n], strict=False):
+            key = [batch.column(k)[a].as_py() for k in range(keys)]
+            if key != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                held, now = [], key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
 class TwoGenerations(dict):
     """A dict whose older half of entries is dropped when it holds too many."""
 

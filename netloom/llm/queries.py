@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import ann, bpe, embed_dedup, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, token_store
+from netloom.llm import ann, bpe, divergence, embed_dedup, hard_negatives, line_dedup, ngram_join, packing, piece_bpe, quality, secret_scan, suffix_dedup, token_store
 from netloom.llm.common import documents, table
 
 
@@ -51,6 +51,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip_digests(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.relabelled(hard_negatives.quantised(table(spark, sf_dir, "embeddings")), every=7, labels=10)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -63,8 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_ann": op9_ann,
         "op10_secret_scan": op10_secret_scan,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_divergence": divergence.SQL}

@@ -117,7 +117,7 @@ def test_pipeline_edge_rows(spark, tmp_path):
 
 
 def test_registered_queries():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_equal_vectors_are_one_class(spark):
