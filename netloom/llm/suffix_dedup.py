@@ -78,13 +78,14 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 def anchors(data: np.ndarray, window: int, digit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor, and the first and last window whose anchor it is."""
     hashes = Rolling(data).all(digit)
-    low = np.uint64((1 << _POSITION) - 1)
-    # by hash, of equals the leftmost; places count anew from every 2**24 bytes, and windows across that line are cut there
-    keys = (hashes & ~low) | (np.arange(len(hashes), dtype=np.uint64) & low)
-    at = (window_minima(keys, window - digit + 1) & low).astype(np.int64)
-    starts = np.arange(len(at))
-    at += (starts >> _POSITION) << _POSITION
-    at[at < starts] += 1 << _POSITION
+    low, width = np.uint64((1 << _POSITION) - 1), window - digit + 1
+    at = np.empty(len(data) - window + 1, np.int64)
+    # by hash, of equals the leftmost; a stretch of windows has all its places in one key's low bits
+    step = (1 << _POSITION) - width + 1
+    for begin in range(0, len(at), step):
+        part = hashes[begin : begin + step + width - 1]
+        keys = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        at[begin : begin + step] = (window_minima(keys, width) & low).astype(np.int64) + begin
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     return hashes[at[first]], at[first], first, last
