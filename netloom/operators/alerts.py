@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
+from netloom.operators.grouped import in_groups
+from netloom.operators.staged import staged
 
 # What alerts are correlated by, and the words that are no key.
 GROUPS = {"Source IP": "src_ip", "Destination IP": "dst_ip", "Service": "service", "Classifier Class": "classifier_class", "Anomaly Family": "zero_day_family", "Batch File": "source_file_hash"}
@@ -73,36 +74,36 @@ def anchored(events: DataFrame, keys: list[str], time_us: str, tie: str, window_
     placed = events.withColumn("_span", F.floor(F.col(time_us) / span).cast("long"))
     times = placed.select(*at, F.col(time_us).cast("long").alias("_t")).distinct()
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy())
+    def exits(key: tuple, columns: dict[str, np.ndarray]) -> list[tuple]:
+        t = columns["_t"]
         jump = np.append(np.searchsorted(t, t + window_us, side="right"), len(t))
         last = np.arange(len(t) + 1)
         while (jump[:-1] < len(t)).any():
             last, jump = np.where(jump < len(t), last[jump], last), jump[jump]
-        some = min(len(t), int(np.searchsorted(t, pdf["_span"].iloc[0] * span + window_us, side="right")) + 1)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in at}, "_first": [t[:some]], "_last": [t[last[:some]]]})
+        some = min(len(t), int(np.searchsorted(t, key[-1] * span + window_us, side="right")) + 1)
+        return [(*key, t[:some].tolist(), t[last[:some]].tolist())]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, entries, anchor = pdf.sort_values("_span"), [], None
-        for first, last in zip(pdf["_first"], pdf["_last"], strict=True):
-            entries.append(anchor)
+    def fold(key: tuple, columns: dict[str, np.ndarray]) -> list[tuple]:
+        out, anchor = [], None
+        for place, first, last in zip(columns["_span"].tolist(), columns["_first"], columns["_last"], strict=True):
+            out.append((*key, place, anchor))
             i = 0 if anchor is None else int(np.searchsorted(first, anchor + window_us, side="right"))
             anchor = int(last[i]) if i < len(first) else anchor
-        return pdf[at].assign(_entry=pd.array(entries, "Int64"))
+        return out
 
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, entry = np.sort(pdf["_t"].to_numpy()), pdf["_entry"].iloc[0]
+    def starts(key: tuple, columns: dict[str, np.ndarray]) -> list[tuple]:
+        t, entry = columns["_t"], columns["_entry"][0]
         after = np.searchsorted(t, t + window_us, side="right")
-        found = [] if pd.isna(entry) else [int(entry)]
+        found = [] if entry is None or np.isnan(entry) else [int(entry)]
         i = int(np.searchsorted(t, found[0] + window_us, side="right")) if found else 0
         while i < len(t):
             found.append(int(t[i]))
             i = int(after[i])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in at}, "_starts": [found]})
+        return [(*key, found)]
 
-    spans = times.groupBy(*at).applyInPandas(exits, f"{named}, _span long, _first array<long>, _last array<long>")
-    entries = spans.groupBy(*keys).applyInPandas(fold, f"{named}, _span long, _entry long")
-    listed = times.join(entries, at).groupBy(*at).applyInPandas(starts, f"{named}, _span long, _starts array<long>")
+    spans = in_groups(times, at, ["_t"], exits, f"{named}, _span long, _first array<long>, _last array<long>")
+    entries = in_groups(spans, keys, ["_span"], fold, f"{named}, _span long, _entry long")
+    listed = in_groups(times.join(entries, at), at, ["_t"], starts, f"{named}, _span long, _starts array<long>")
     joined = placed.join(listed, at)
     return joined.withColumn("cluster_start", F.array_max(F.filter("_starts", lambda s: s <= F.col(time_us)))).drop("_span", "_starts")
 
@@ -125,7 +126,7 @@ def incidents(alerts: DataFrame, window_minutes: int = 15, least: int = 2, max_i
     k = keyed(alerts.where("event_time IS NOT NULL"), {t: c for t, c in GROUPS.items() if t != "Batch File"})
     k = k.withColumn("t_us", F.unix_micros("event_time"))
     keys = ["group_type", "key"]
-    rows = anchored(k, keys, "t_us", "alert_id", window_minutes * 60_000_000)
+    rows = staged(anchored(k, keys, "t_us", "alert_id", window_minutes * 60_000_000))  # read three times below
     by = [*keys, "cluster_start"]
     base = rows.groupBy(*by).agg(
         F.max("t_us").alias("end_us"), F.count(F.lit(1)).alias("alert_count"), F.count_if("is_zeroday").alias("ood_count"), F.count_if(F.col("risk") >= 70).alias("high_count"),

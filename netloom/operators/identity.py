@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.operators.labels import HELD_OUT, KNOWN
-from netloom.operators.running import running
+from netloom.operators.running import positions
 
 ROLES = ("train", "val", "meta_known", "calibration")  # in order of priority
 
@@ -47,11 +49,10 @@ def _share(seed: int, row: str, *more: str) -> F.Column:
 def reference_share(df: DataFrame, row: str, share: float) -> DataFrame:
     """reference: whether a row is among the first round(rows * share), one at least and not all, by row number; a
     single row is reference and evaluation both. The row numbers tell rows apart."""
-    n = df.count()
+    placed = positions(df, [F.col(row).asc()], "_place")
+    n = placed.count()
     first = max(1, min(n - 1, round(n * share))) if n > 1 else n
-    run = running(df.withColumn("_one", F.lit(1)), [], row, ["_one"])
-    out = run.withColumn("reference", F.col("upto__one") <= first).withColumn("evaluated", (F.col("upto__one") > first) | F.lit(n == 1))
-    return out.drop("_one", "upto__one", "all__one")
+    return placed.withColumn("reference", F.col("_place") < first).withColumn("evaluated", (F.col("_place") >= first) | F.lit(n == 1)).drop("_place")
 
 
 def row_split(df: DataFrame, seed: int, row: str = "row_id") -> DataFrame:
@@ -76,6 +77,51 @@ def stratified_split(df: DataFrame, seed: int, parts: dict[str, float], row: str
     return df.withColumn("role", role.otherwise(list(parts)[-1]))
 
 
+def shares_of(counts: dict[str, int], size: int) -> dict[str, int]:
+    """`size` rows shared out to classes by their counts: whole shares, then one each to the largest remainders."""
+    total = sum(counts.values())
+    whole = {c: n * size // total for c, n in counts.items()}
+    left = size - sum(whole.values())
+    for c in sorted(counts, key=lambda c: (-(counts[c] * size % total), c))[:left]:
+        whole[c] += 1
+    return whole
+
+
+def exact_split(df: DataFrame, seed: int, parts: dict[str, float], row: str = "row_id", least: int = 5) -> DataFrame:
+    """role: random parts of exact sizes. The last part has its share of all rows, rounded up, the one before its share
+    of what is left, and so on; each takes of every label what its count asks for. If a label has fewer than `least`
+    rows, labels are not looked at. The shares sum to 1; row numbers tell rows apart.
+
+    Places in a label come from ranges over all labels by a digest; only counts of labels come to the driver.
+    """
+    if abs(sum(parts.values()) - 1) > 1e-9:
+        raise ValueError("the shares of a split sum to 1")
+    counts = {r.label: r["count"] for r in df.groupBy(F.coalesce("label", F.lit("")).alias("label")).count().collect()}
+    whole = bool(counts) and min(counts.values()) < least
+    if whole:
+        counts = {"": sum(counts.values())}
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row).cast("string")))
+    stratum = F.lit("") if whole else F.coalesce("label", F.lit(""))
+    placed = positions(df.withColumn("_stratum", stratum).withColumn("_h", digest), [F.col("_stratum"), F.col("_h"), F.col(row)], "_place")
+    left, names, ends, before = dict(counts), list(parts), [], 0
+    taken: dict[str, dict[str, int]] = {}
+    for i in range(len(names) - 1, 0, -1):
+        share = parts[names[i]] / sum(parts[n] for n in names[: i + 1])
+        taken[names[i]] = shares_of(left, math.ceil(sum(left.values()) * share - 1e-9)) if left else {}
+        left = {c: n - taken[names[i]][c] for c, n in left.items()}
+    taken[names[0]] = left
+    for c in sorted(counts):
+        upto = before
+        for name in names:
+            ends.append((c, name, upto, upto + taken[name][c]))
+            upto += taken[name][c]
+        before += counts[c]
+    table = df.sparkSession.createDataFrame(ends, "_stratum string, role string, _from long, _to long")
+    inside = (placed["_stratum"] == table["_stratum"]) & (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to"))
+    out = placed.drop("role").join(F.broadcast(table), inside)  # as many rows as labels and parts
+    return out.select(*(c for c in df.columns if c != "role"), "role")
+
+
 def taxonomy(df: DataFrame) -> DataFrame:
     """role, same_label_identities, duplicate_rows, cross_label_identities, cross_label_rows. df: role, identity, label."""
     pairs = df.groupBy("role", "identity", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -204,10 +250,19 @@ def session_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def grouped_split(df: DataFrame, seed: int = 42, folds: int = 10) -> DataFrame:
-    """role: 70/10/10/10 of the groups of each class (least label of a group); a group never falls into two roles."""
+    """role: 70/10/10/10 of the groups of each class (least label of a group); a group never falls into two roles.
+
+    A class with fewer groups than folds raises. Places within a class come from ranges over all classes, so that a
+    class of any size is spread over the tasks.
+    """
     groups = df.groupBy("identity").agg(F.min("label").alias("class"))
-    place = F.row_number().over(Window.partitionBy("class").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "identity"), 256))) - 1
-    fold = place % folds
+    groups = positions(groups.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), "identity"), 256)), [F.col("class"), F.col("_h")], "_place")
+    sizes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))  # a row a class
+    few = sizes.where(F.col("_n") < folds).orderBy("class").collect()
+    if few:
+        raise ValueError(f"a grouped split needs {folds} identities a class: {', '.join(f'{r["class"]} has {r["_n"]}' for r in few)}")
+    groups = groups.join(F.broadcast(sizes), "class")
+    fold = (F.col("_place") - F.col("_first")) % folds
     role = F.when(fold < folds - 3, "train").when(fold == folds - 3, "val").when(fold == folds - 2, "meta_known").otherwise("calibration")
     return df.join(groups.withColumn("role", role).select("identity", "role"), "identity")
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.operators.running import quantiles, running
 
+#: Distinct scores of a bootstrap, 24 bytes each on every executor.
+MOST_SCORES = 2_000_000
+
 STATS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
@@ -118,27 +126,59 @@ def across_seeds(cells: DataFrame, keys: list[str], metrics: list[str]) -> DataF
     return long(cells, metrics, keys).groupBy(*keys, "name").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sample_sd"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
-def bootstrap(df: DataFrame, score: str, positive: F.Column, key: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """lo, hi of the AUROC over Poisson resamples of the identities, each replicate by counts at distinct scores.
+def bootstrap(df: DataFrame, score: str, positive: F.Column, replicates: int = 2000, seed: int = 7, threshold: float = 0.5, least_valid: int = 1) -> DataFrame:
+    """name, lo, hi, valid, discarded: 95 % intervals of AUROC, AP, TPR and FPR over stratified resamples.
 
-    The weight of an identity in a replicate is a Poisson(1) count from a hash, so no resample is drawn on the driver.
+    Each replicate draws as many positives and as many negatives as there are, with replacement, by md5 of
+    (seed, stratum, replicate, draw): strata keep their sizes. What goes to the executors are the counts at distinct
+    scores, at most MOST_SCORES (more raise; round the scores then); a task counts a replicate's draws at them and has
+    all four metrics by one pass from the highest score down. A score over the threshold is an alert. Null scores take
+    no part; a replicate without a finite value of every metric is discarded, and fewer than least_valid raise.
     """
-    weighted = df.select(key, score, positive.alias("pos")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", key), F.lit(1 << 30)) / float(1 << 30)
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        cuts.append((total, k))
-        p /= k + 1
-    weight = F.lit(8)
-    for cut, k in reversed(cuts):
-        weight = F.when(u < cut, k).otherwise(weight)
-    w = weighted.withColumn("w", weight).where("w > 0")
-    at = w.groupBy("r", F.col(score).alias("x")).agg(F.sum(F.when(F.col("pos"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("pos"), 0).otherwise(F.col("w"))).alias("n"))
-    down = Window.partitionBy("r").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.withColumn("tp", F.sum("p").over(down))
-    each = run.groupBy("r").agg((F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / (F.sum("p") * F.sum("n"))).alias("auroc"))
-    return each.agg(F.percentile("auroc", F.lit(0.025)).alias("lo"), F.percentile("auroc", F.lit(0.975)).alias("hi"), F.count("auroc").alias("replicates"))
+    spark = df.sparkSession
+    scored = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("x")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    held = scored.orderBy("x").limit(MOST_SCORES + 1).toPandas()
+    if len(held) > MOST_SCORES:
+        raise ValueError(f"more than {MOST_SCORES} distinct scores")
+    totals = int(held.p.sum()), int(held.n.sum())
+    if not all(totals) or replicates < max(1, least_valid):
+        raise ValueError(f"no bootstrap of {totals[0]} positives and {totals[1]} negatives with {replicates} replicates")
+    shared = spark.sparkContext.broadcast((held.x.to_numpy(), held.p.cumsum().to_numpy(), held.n.cumsum().to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, *upto = shared.value
+        over = x > threshold
+        for batch in batches:
+            out = []
+            for r in batch.column(0).to_pylist():
+                p, n = (_resampled(seed, name, r, c) for name, c in zip("pn", upto, strict=True))
+                tp, fp = np.cumsum(p[::-1]), np.cumsum(n[::-1])
+                p, n, here = p[::-1], n[::-1], (p + n)[::-1] > 0
+                ap = float((p[here] * tp[here] / (tp[here] + fp[here])).sum()) / tp[-1]
+                out.append((r, float((n * (tp - p) + n * p / 2).sum()) / (float(tp[-1]) * float(fp[-1])), ap, float(p[::-1][over].sum()) / tp[-1], float(n[::-1][over].sum()) / fp[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["r", "auroc", "average_precision", "tpr", "fpr"])
+
+    parts = min(replicates, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = spark.range(1, replicates + 1, 1, parts).mapInArrow(run, "r long, auroc double, average_precision double, tpr double, fpr double")
+    names = ["auroc", "average_precision", "tpr", "fpr"]
+    good = F.forall(F.array(*names), lambda v: ~F.isnan(v))
+    each = each.withColumn("good", good)
+    ends = [F.percentile(F.when(F.col("good"), F.col(n)), F.lit(q)).alias(f"{n}_{side}") for n in names for side, q in (("lo", 0.025), ("hi", 0.975))]
+    valid = F.count_if("good")
+    few = F.when(valid < least_valid, F.raise_error(F.lit("too few valid replicates")).cast("long")).otherwise(valid)
+    row = each.agg(few.alias("valid"), F.count_if(~F.col("good")).alias("discarded"), *ends)
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_lo").alias("lo"), F.col(f"{n}_hi").alias("hi")) for n in names))).alias("m"), "valid", "discarded").select("m.*", "valid", "discarded")
+
+
+def _resampled(seed: int, stratum: str, replicate: int, upto: np.ndarray) -> np.ndarray:
+    """How often each distinct score is drawn; upto counts the stratum's members up to each score."""
+    total, counts = int(upto[-1]), np.zeros(len(upto), np.int64)
+    for at in range(0, total, 1 << 20):
+        draws = range(at, min(total, at + (1 << 20)))
+        u = np.fromiter((int(hashlib.md5(f"{seed}|{stratum}|{replicate}|{j}".encode()).hexdigest()[:13], 16) for j in draws), np.int64, len(draws))
+        member = np.floor(u / float(1 << 52) * total).astype(np.int64)
+        counts += np.bincount(np.searchsorted(upto, member, side="right"), minlength=len(upto))
+    return counts
 
 
 def adaptive_threshold(df: DataFrame, seq: str, score: str, by: str, window: int = 100, fpr: float = 0.05) -> DataFrame:
@@ -172,3 +212,16 @@ def compare_columns(df: DataFrame, pairs: list[tuple[str, str]], tolerance: floa
         F.avg("e").alias("mean_error"), F.max("e").alias("max_error"),
     )
     return out.join(quantiles(v, ["name"], "e", {"p95_error": 0.95}).drop("n"), "name", "left")
+
+
+def compared_methods(df: DataFrame, target_fpr: float) -> DataFrame:
+    """method, auroc, auprc, alert_rate, normal_fpr, attack_detection_rate of df (method, v, attack).
+
+    A method's threshold is the (1 - target_fpr) quantile of its values on rows that are no attack; alerts lie over it.
+    """
+    attack = F.col("attack")
+    cut = quantiles(df.where(~attack), ["method"], "v", {"cut": 1 - target_fpr}).select("method", "cut")
+    over = F.col("v") > F.col("cut") + 1e-9  # a quantile between equal values may round up
+    share = lambda of: F.avg(F.when(of, over.cast("double")))
+    rates = df.join(F.broadcast(cut), "method").groupBy("method").agg(share(F.lit(True)).alias("alert_rate"), share(~attack).alias("normal_fpr"), share(attack).alias("attack_detection_rate"))
+    return ranking(df, "v", attack, ["method"]).select("method", "auroc", F.col("average_precision").alias("auprc")).join(rates, "method")

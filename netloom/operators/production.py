@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.operators.normalize import cleaned, first_present, normalize
+from netloom.operators.running import positions
 
 # The contract's columns and the labels analysts may give.
 COLUMNS = (
@@ -76,21 +77,16 @@ def apply_overrides(flows: DataFrame, overrides: DataFrame, key: str, order: str
 def split_by_time(flows: DataFrame, time: str, row: str, ratios: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
     """split: train, validation or test by time, rows without a time last, ties by row.
 
-    Ranks come from a count a day and a rank within the day, so that no task sorts all rows.
+    Places come from ranges of the order, so that no task sorts all rows, whatever their days or missing times.
     """
     total = sum(ratios)
     if total <= 0:
         raise ValueError("split ratios must sum to a positive value")
-    day = F.coalesce(F.date_trunc("day", time), F.lit("9999-12-31").cast("timestamp"))
-    dated = flows.withColumn("_day", day)
-    counts = dated.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_day")
-    starts = counts.select("_day", (F.sum("_c").over(w) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("_day").orderBy(F.col(time).asc_nulls_last(), row)) + F.col("_before")
-    ranked = dated.join(starts, "_day").withColumn("_rank", rank)
+    ranked = positions(flows, [F.col(time).asc_nulls_last(), F.col(row).asc()], "_rank")
+    n = F.broadcast(ranked.agg(F.count(F.lit(1)).alias("_n")))
     train, validation = F.bround(F.col("_n") * (ratios[0] / total), 0), F.bround(F.col("_n") * ((ratios[0] + ratios[1]) / total), 0)
-    split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= validation, "validation").otherwise("test")
-    return ranked.withColumn("split", split).drop("_day", "_before", "_n", "_rank")
+    split = F.when(F.col("_rank") < train, "train").when(F.col("_rank") < validation, "validation").otherwise("test")
+    return ranked.crossJoin(n).withColumn("split", split).drop("_n", "_rank")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,12 +6,25 @@ rows a key carries the sums of the buckets before. Any imbalance of the cuts cha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.staged import staged
+
 BUCKETS = 64
 
 
+def positions(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with its rows' places in the order, from 0: ranges of the order are written once, numbered on their own, and
+    moved on by the rows of the ranges before. Only rows that are equal in all of `order` share a range by force."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_within", rank).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
 def running(df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
     """df with upto_<c> (sum of c over rows up to this one in the order) and all_<c> for each c of sums, within the keys.
 

@@ -169,6 +169,18 @@ def stratified_split(df: DataFrame) -> DataFrame:
     return I.stratified_split(known, 7, {"train": 0.8, "test": 0.2}).groupBy("label", "role").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("exact_stratified_split", "families", sql="""
+, k AS (SELECT * FROM families WHERE label IN ('Normal', 'DoS', 'Exploits', 'Reconnaissance', 'Generic')), c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM k GROUP BY label),
+q AS (SELECT *, ceil(total * 0.2 - 1e-9)::BIGINT AS size, n * ceil(total * 0.2 - 1e-9)::BIGINT % total AS rest FROM c), w AS (SELECT *, n * size // total AS whole FROM q),
+e AS (SELECT label, n, whole + (row_number() OVER (ORDER BY rest DESC, label) <= size - sum(whole) OVER ())::INT AS test FROM w),
+p AS (SELECT label, row_id, row_number() OVER (PARTITION BY label ORDER BY md5('7|' || row_id), row_id) - 1 AS i FROM k)
+SELECT label, CASE WHEN i < n - test THEN 'train' ELSE 'test' END AS role, count(*) AS rows, sum(row_id)::BIGINT AS ids FROM p JOIN e USING (label) GROUP BY ALL""")
+def exact_stratified_split(df: DataFrame) -> DataFrame:
+    known = df.where(F.col("label").isin("Normal", "DoS", "Exploits", "Reconnaissance", "Generic"))
+    out = I.exact_split(known, 7, {"train": 0.8, "test": 0.2})
+    return out.groupBy("label", "role").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("ids"))
+
+
 @query("reference_share", "families", sql=", n AS (SELECT *, row_number() OVER (ORDER BY row_id) AS i, count(*) OVER () AS n FROM families) SELECT row_id, i <= round(n * 0.7) AS reference, i > round(n * 0.7) AS evaluated FROM n")
 def reference_share(df: DataFrame) -> DataFrame:
     return I.reference_share(df, "row_id", 0.7).select("row_id", "reference", "evaluated")

@@ -152,10 +152,17 @@ def seed_summary(scores: DataFrame) -> DataFrame:
     return M.across_seeds(cells, [], ["ae", "hy"]).select("name", *r6("mean", "sample_sd", "min", "max"))
 
 
-@query("auroc_bootstrap", "scores")
+@query("auroc_bootstrap", "scores", sql="""
+, m AS (SELECT identity, label <> '0' AS pos, round(avg(hybrid_score), 6) AS s FROM scores GROUP BY ALL),
+k AS (SELECT pos, s, row_number() OVER (PARTITION BY pos ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY pos) AS n FROM m), z AS (SELECT pos, any_value(n) AS n FROM k GROUP BY pos),
+j AS (SELECT pos, n, r, unnest(range(n)) AS j FROM z, range(1, 201) a(r)), d AS (SELECT r, pos, floor(('0x' || substr(md5('7|' || CASE WHEN pos THEN 'p' ELSE 'n' END || '|' || r || '|' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * n)::BIGINT AS i FROM j),
+c AS (SELECT r, s, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS n FROM d JOIN k USING (pos, i) GROUP BY ALL), t AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM c WINDOW w AS (PARTITION BY r ORDER BY s DESC)),
+e AS (SELECT r, sum(n * (tp - p) + n * p / 2.0) / (sum(p) * sum(n)) AS auroc, sum(p * tp / (tp + fp)) / sum(p) AS average_precision, coalesce(sum(p) FILTER (WHERE s > 0.375), 0) / sum(p) AS tpr, coalesce(sum(n) FILTER (WHERE s > 0.375), 0) / sum(n) AS fpr FROM t GROUP BY r),
+l AS (UNPIVOT e ON auroc, average_precision, tpr, fpr INTO NAME name VALUE x)
+SELECT name, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, count(*) AS valid, 0::BIGINT AS discarded FROM l GROUP BY name""")
 def auroc_bootstrap(scores: DataFrame) -> DataFrame:
     means = scores.groupBy("identity", (F.col("label") != "0").alias("pos")).agg(F.round(F.avg("hybrid_score"), 6).alias("s"))
-    return M.bootstrap(means.withColumn("id", F.concat_ws("|", "identity", "pos")), "s", F.col("pos"), "id")
+    return M.bootstrap(means, "s", F.col("pos"), replicates=200, threshold=0.375).select("name", *r6("lo", "hi"), "valid", "discarded")
 
 
 @query("top_batch_alerts", "scores", sql=DECIDED + """
