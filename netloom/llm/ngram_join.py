@@ -254,7 +254,10 @@ def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFram
     keyed = usable.join(first, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     # the least and the greatest member of each bucket, by partial aggregates; buckets of one drop out
     ends = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
-    shared = materialize(keyed.join(ends.select("key", "pivot"), "key"))
+    # written, so that the shuffle of all keys for the ends is gone before the one that finds the members
+    ends = materialize(ends.select("key", "pivot"))
+    shared = materialize(keyed.join(ends, "key"))
+    discard(ends)
     sketches = usable.select("doc_id", "sketch", "n_shingles")
 
     def close(pairs: DataFrame) -> DataFrame:
