@@ -66,7 +66,7 @@ def anchored(events: DataFrame, keys: list[str], time_us: str, tie: str, window_
 
     A key's distinct times are cut into spans of SPAN windows. Each span says for every time that may start its first
     cluster where its last cluster then starts; a fold over a key's spans, a few rows each, tells which it is; then
-    each span lists its starts, SPAN + 2 at most, and an event takes the last one before it.
+    each span gives its starts, one a window at most, and an event looks its own up.
     """
     span = SPAN * window_us
     named = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
@@ -99,13 +99,20 @@ def anchored(events: DataFrame, keys: list[str], time_us: str, tie: str, window_
         while i < len(t):
             found.append(int(t[i]))
             i = int(after[i])
-        return [(*key, found)]
+        slots: list[int | None] = [None] * (SPAN + 1)
+        for start in found:
+            if (slot := start // window_us - key[-1] * SPAN + 1) >= 0:
+                slots[slot] = start
+        return [(*key, slots)]
 
     spans = in_groups(times, at, ["_t"], exits, f"{named}, _span long, _first array<long>, _last array<long>")
     entries = in_groups(spans, keys, ["_span"], fold, f"{named}, _span long, _entry long")
     listed = in_groups(times.join(entries, at), at, ["_t"], starts, f"{named}, _span long, _starts array<long>")
     joined = placed.join(listed, at)
-    return joined.withColumn("cluster_start", F.array_max(F.filter("_starts", lambda s: s <= F.col(time_us)))).drop("_span", "_starts")
+    # starts lie more than a window apart, so that an event's is the one in its own window's slot or in the slot before
+    slot = (F.floor(F.col(time_us) / window_us) - F.col("_span") * SPAN + 2).cast("int")
+    own, before = F.element_at("_starts", slot), F.element_at("_starts", slot - 1)
+    return joined.withColumn("cluster_start", F.when(own <= F.col(time_us), own).otherwise(before)).drop("_span", "_starts")
 
 
 def top_values(rows: DataFrame, keys: list[str], values: dict[str, F.Column], top: int = 3) -> DataFrame:

@@ -11,50 +11,61 @@ from netloom.functions import scalars as S
 from netloom.operators.running import quantiles
 
 # The 25 core features, and the column names that vendors give each target.
-CORE_FEATURES = (
-    "proto service state dur sbytes dbytes spkts dpkts sload dload sttl dttl sloss dloss sintpkt dintpkt "
-    "tcprtt synack ackdat ct_srv_src ct_srv_dst ct_dst_ltm ct_src_ltm ct_dst_sport_ltm ct_dst_src_ltm"
-).split()
+CORE_FEATURES = [
+    "proto", "service", "state", "dur", "sbytes", "dbytes", "spkts", "dpkts", "sload", "dload", "sttl", "dttl", "sloss", "dloss", "sintpkt",
+    "dintpkt", "tcprtt", "synack", "ackdat", "ct_srv_src", "ct_srv_dst", "ct_dst_ltm", "ct_src_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm",
+]
 ALIASES = {
-    k: v.split()
-    for k, v in {
-        "srcip": "srcip src_ip source_ip source.address sourceip id.orig_h srcaddr src_addr client_ip source",
-        "dstip": "dstip dst_ip destination_ip destination.address dest_ip dstaddr dst_addr id.resp_h server_ip destination",
-        "sport": "sport src_port source_port source.port id.orig_p srcport client_port spt",
-        "dsport": "dsport dst_port destination_port destination.port dest_port id.resp_p dstport server_port dpt",
-        "proto": "proto protocol transport network.transport ip_proto",
-        "service": "service app_proto application app protocol_name event_type",
-        "state": "state conn_state tcp_state session_state action flow_state",
-        "dur": "dur duration duration_sec elapsed flow_duration flow_duration_sec",
-        "sbytes": "sbytes src_bytes bytes_src source.bytes orig_bytes flow.bytes_toserver bytes_toserver sent_bytes total_length_of_fwd_packets subflow_fwd_bytes",
-        "dbytes": "dbytes dst_bytes bytes_dst destination.bytes resp_bytes flow.bytes_toclient bytes_toclient received_bytes total_length_of_bwd_packets subflow_bwd_bytes",
-        "spkts": "spkts src_pkts source.packets orig_pkts flow.pkts_toserver pkts_toserver sent_pkts total_fwd_packets subflow_fwd_packets",
-        "dpkts": "dpkts dst_pkts destination.packets resp_pkts flow.pkts_toclient pkts_toclient received_pkts total_backward_packets total_bwd_packets subflow_bwd_packets",
-        "sttl": "sttl src_ttl ttl ip_ttl source.ttl",
-        "dttl": "dttl dst_ttl destination.ttl",
-        "sloss": "sloss src_loss source.loss lost_src",
-        "dloss": "dloss dst_loss destination.loss lost_dst",
-        "sload": "sload src_load source.load",
-        "dload": "dload dst_load destination.load",
-        "smeansz": "smeansz src_mean_size source.mean_packet_size fwd_packet_length_mean avg_fwd_segment_size",
-        "dmeansz": "dmeansz dst_mean_size destination.mean_packet_size bwd_packet_length_mean avg_bwd_segment_size",
-        "sjit": "sjit src_jitter jitter_src",
-        "djit": "djit dst_jitter jitter_dst",
-        "sintpkt": "sintpkt src_inter_packet_time source.inter_packet_time fwd_iat_mean",
-        "dintpkt": "dintpkt dst_inter_packet_time destination.inter_packet_time bwd_iat_mean",
-        "tcprtt": "tcprtt tcp_rtt rtt round_trip_time",
-        "synack": "synack syn_ack tcp_synack",
-        "ackdat": "ackdat ack_data tcp_ackdat",
-        "ct_srv_src": "ct_srv_src", "ct_srv_dst": "ct_srv_dst", "ct_dst_ltm": "ct_dst_ltm", "ct_src_ltm": "ct_src_ltm",
-        "ct_src_dport_ltm": "ct_src_dport_ltm", "ct_dst_sport_ltm": "ct_dst_sport_ltm", "ct_dst_src_ltm": "ct_dst_src_ltm",
-        "stime": "stime start_time start ts timestamp @timestamp time",
-        "ltime": "ltime end_time end endtime",
-        "label": "label is_attack event.severity",
-        "attack_cat": "attack_cat attack_category category alert.signature signature",
-    }.items()
+    "srcip": ["srcip", "src_ip", "source_ip", "source.address", "sourceip", "id.orig_h", "srcaddr", "src_addr", "client_ip", "source"],
+    "dstip": ["dstip", "dst_ip", "destination_ip", "destination.address", "dest_ip", "dstaddr", "dst_addr", "id.resp_h", "server_ip", "destination"],
+    "sport": ["sport", "src_port", "source_port", "source.port", "id.orig_p", "srcport", "client_port", "spt"],
+    "dsport": ["dsport", "dst_port", "destination_port", "destination.port", "dest_port", "id.resp_p", "dstport", "server_port", "dpt"],
+    "proto": ["proto", "protocol", "transport", "network.transport", "ip_proto"],
+    "service": ["service", "app_proto", "application", "app", "protocol_name", "event_type"],
+    "state": ["state", "conn_state", "tcp_state", "session_state", "action", "flow_state"],
+    "dur": ["dur", "duration", "duration_sec", "elapsed", "flow_duration", "flow_duration_sec"],
+    "sbytes": [
+        "sbytes", "src_bytes", "bytes_src", "source.bytes", "orig_bytes", "flow.bytes_toserver", "bytes_toserver", "sent_bytes",
+        "total_length_of_fwd_packets", "subflow_fwd_bytes",
+    ],
+    "dbytes": [
+        "dbytes", "dst_bytes", "bytes_dst", "destination.bytes", "resp_bytes", "flow.bytes_toclient", "bytes_toclient", "received_bytes",
+        "total_length_of_bwd_packets", "subflow_bwd_bytes",
+    ],
+    "spkts": ["spkts", "src_pkts", "source.packets", "orig_pkts", "flow.pkts_toserver", "pkts_toserver", "sent_pkts", "total_fwd_packets", "subflow_fwd_packets"],
+    "dpkts": [
+        "dpkts", "dst_pkts", "destination.packets", "resp_pkts", "flow.pkts_toclient", "pkts_toclient", "received_pkts", "total_backward_packets",
+        "total_bwd_packets", "subflow_bwd_packets",
+    ],
+    "sttl": ["sttl", "src_ttl", "ttl", "ip_ttl", "source.ttl"],
+    "dttl": ["dttl", "dst_ttl", "destination.ttl"],
+    "sloss": ["sloss", "src_loss", "source.loss", "lost_src"],
+    "dloss": ["dloss", "dst_loss", "destination.loss", "lost_dst"],
+    "sload": ["sload", "src_load", "source.load"],
+    "dload": ["dload", "dst_load", "destination.load"],
+    "smeansz": ["smeansz", "src_mean_size", "source.mean_packet_size", "fwd_packet_length_mean", "avg_fwd_segment_size"],
+    "dmeansz": ["dmeansz", "dst_mean_size", "destination.mean_packet_size", "bwd_packet_length_mean", "avg_bwd_segment_size"],
+    "sjit": ["sjit", "src_jitter", "jitter_src"],
+    "djit": ["djit", "dst_jitter", "jitter_dst"],
+    "sintpkt": ["sintpkt", "src_inter_packet_time", "source.inter_packet_time", "fwd_iat_mean"],
+    "dintpkt": ["dintpkt", "dst_inter_packet_time", "destination.inter_packet_time", "bwd_iat_mean"],
+    "tcprtt": ["tcprtt", "tcp_rtt", "rtt", "round_trip_time"],
+    "synack": ["synack", "syn_ack", "tcp_synack"],
+    "ackdat": ["ackdat", "ack_data", "tcp_ackdat"],
+    "ct_srv_src": ["ct_srv_src"],
+    "ct_srv_dst": ["ct_srv_dst"],
+    "ct_dst_ltm": ["ct_dst_ltm"],
+    "ct_src_ltm": ["ct_src_ltm"],
+    "ct_src_dport_ltm": ["ct_src_dport_ltm"],
+    "ct_dst_sport_ltm": ["ct_dst_sport_ltm"],
+    "ct_dst_src_ltm": ["ct_dst_src_ltm"],
+    "stime": ["stime", "start_time", "start", "ts", "timestamp", "@timestamp", "time"],
+    "ltime": ["ltime", "end_time", "end", "endtime"],
+    "label": ["label", "is_attack", "event.severity"],
+    "attack_cat": ["attack_cat", "attack_category", "category", "alert.signature", "signature"],
 }
-TOTAL_BYTES = "bytes total_bytes flow.bytes network.bytes bytes_total".split()
-TOTAL_PACKETS = "pkts packets total_pkts flow.pkts network.packets packets_total".split()
+TOTAL_BYTES = ["bytes", "total_bytes", "flow.bytes", "network.bytes", "bytes_total"]
+TOTAL_PACKETS = ["pkts", "packets", "total_pkts", "flow.pkts", "network.packets", "packets_total"]
 TEXT_COLUMNS = ("srcip", "dstip", "proto", "service", "state", "attack_cat")
 DEFAULTS = {"proto": "tcp", "service": "unknown", "state": "UNK", "sbytes": 0.0, "dbytes": 0.0, "spkts": 0.0, "dpkts": 0.0, "dur": 0.0}
 CONTEXT_COUNTS = {

@@ -194,9 +194,16 @@ def interval_label_join(packets: DataFrame, rules: DataFrame) -> DataFrame:
     return P.join_rules(flows, rules, "first_index").select("first_index", "status", "source_label", "portable_label", joined("rule_ids"))
 
 
-@query("flow_contract_violations", "packets", sql=FEATURE_SQL + "\nSELECT * FROM (VALUES ('negative', 0::BIGINT), ('fraction_outside', 0::BIGINT), ('rate_without_duration', 0::BIGINT)) t(rule, n)")
+@query("flow_contract_violations", "packets", sql=FEATURE_SQL + """
+SELECT 'negative' AS rule, count(*) FILTER (WHERE first_index % 7 = 0) AS n FROM f UNION ALL SELECT 'fraction_outside', count(*) FILTER (WHERE first_index % 11 = 0) FROM f
+UNION ALL SELECT 'rate_without_duration', count(*) FILTER (WHERE duration_seconds = 0 AND first_index % 5 = 0) FROM f""")
 def flow_contract_violations(packets: DataFrame) -> DataFrame:
-    return P.violations(P.flow_features(P.sessions(packets, IDLE)))
+    flows, i = P.flow_features(P.sessions(packets, IDLE)), F.col("first_index")
+    # the features of a flow keep the contract by construction: some are broken here
+    broken = flows.withColumn("backward_byte_count", F.when(i % 7 == 0, -F.col("backward_byte_count") - 1).otherwise(F.col("backward_byte_count")))
+    broken = broken.withColumn("forward_packet_fraction", F.when(i % 11 == 0, F.col("forward_packet_fraction") + 1).otherwise(F.col("forward_packet_fraction")))
+    broken = broken.withColumn("packets_per_second", F.when(i % 5 == 0, F.coalesce("packets_per_second", F.lit(1.0))).otherwise(F.col("packets_per_second")))
+    return P.violations(broken)
 
 
 @query("flow_identity_multiplicity", "packets", sql=FEATURE_SQL + """,
