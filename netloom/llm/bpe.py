@@ -5,7 +5,8 @@ encoding of its own text and every adjacent pair is compatible, i.e. no merge ac
 would run before the merges on either side take their symbols away. Pairs are checked for all new words of
 a batch at once in numpy; only the words with a failing pair are merged exactly.
 
-Rows: a null text counts as empty; empty texts have no tokens. Repeated rows are encoded alike. Other
+Rows: a null text counts as empty; empty texts have no tokens. Repeated rows are encoded alike. Texts of any length are
+encoded whole; an empty table gives no rows. Other
 columns of the input are ignored, whatever their names.
 """
 

@@ -1,6 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Every step is a join with partial minima; no group of links meets in one task, nothing is collected but counts.
+
+Rows: links with a null end are left out, links of an id with itself make it a component of one, repeated links count
+once; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -106,7 +106,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of docs, text without the dropped lines, and n_lines, n_dropped."""
+    """All columns of docs, text without the dropped lines, and n_lines, n_dropped, which take the place of columns so named."""
     names = docs.columns
     keyed = with_key(docs)
     gone = dropped_lines(keyed.select("_key", "doc_id", "text"), min_docs).withColumnRenamed("gone", "_gone")

@@ -11,7 +11,8 @@ They are verified on the whole sets.
 
 Equal sets are one class, found first by a hash of the set. In a bucket of candidates each member is paired with
 one pivot; buckets that afterwards still hold several components are joined in full, members of different
-components only, so that groups of near copies cost one pair a member and no link is lost.
+components only, so that groups of near copies cost one pair a member and no link between candidates is lost: what may be
+missed is a pair without a common band, by the chance above. Sets of at most 15 shingles have exact keys instead.
 
 Rows: a null, empty or blank text has no shingles and links with nothing; fewer words than five make one shingle;
 repeated rows are copies; a null doc_id keeps its row with a null component and takes no part; other columns are

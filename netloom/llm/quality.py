@@ -7,7 +7,8 @@ vectorised walk of all rows through all trees. Trained on the driver from a boun
 
 Rows: a null or empty text has all statistics zero and is scored like any other; a label that is null, or whose
 document is absent, teaches nothing; without two classes of labels every score is the share of label 1 (0.5
-without labels); repeated rows score alike; other columns, whatever their names, are ignored.
+without labels); a document with several labels teaches each of them; repeated rows score alike; texts of any length
+are read whole; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
