@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet to the shared folder
 and read again as the next stage's docs. All but the last return the columns of documents.
+
+Rows, in every stage: a null text counts as empty and stays null where its document stays; repeated rows are documents
+of their own (near_copies keeps one of them); columns beyond those of documents are left out, whatever their names; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents the classifier accepts; learns from the labels outside the held-out fold."""
+    """Keeps the documents the classifier accepts; learns from the labels outside the held-out fold. Null and empty texts
+    are scored like others; without labels of two classes all documents have one score."""
     docs = docs.select(*COLUMNS)
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of recurring templates, and documents that consist of nothing else."""
+    """Drops the lines of recurring templates, and documents that consist of nothing else. Null and empty texts stay."""
     left = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return _counted(left.where(~((F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", "[\\s]+", " ")) == ""))))
 
@@ -70,7 +75,8 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: SQL can express neither the classifier nor tokenization; tests/llm holds the stages against brute force.
+#: SQL can express neither the classifier nor tokenization. tests/llm/test_stages_brute_force.py holds the three stages
+#: between them against SQL and brute force, and the tests of their operators the other two.
 ORACLE_SQL = None
 
 

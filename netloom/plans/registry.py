@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.plans import audit_queries, candidate_queries, detector_queries, display_queries, flow_queries, fold_queries, forensic_queries, function_queries, payload_queries, quality_queries, selection_queries
+from netloom.plans import audit_queries, candidate_queries, detector_queries, display_queries, flow_queries, fold_queries, forensic_queries, function_queries, payload_queries, quality_queries, report_queries, selection_queries
 from netloom.plans.base import Query
 
 
 def _all() -> dict[str, Query]:
-    return flow_queries.QUERIES | audit_queries.QUERIES | quality_queries.QUERIES | fold_queries.QUERIES | display_queries.QUERIES | candidate_queries.QUERIES | detector_queries.QUERIES | forensic_queries.QUERIES | function_queries.QUERIES | payload_queries.QUERIES | selection_queries.QUERIES
+    return flow_queries.QUERIES | audit_queries.QUERIES | quality_queries.QUERIES | fold_queries.QUERIES | display_queries.QUERIES | candidate_queries.QUERIES | detector_queries.QUERIES | forensic_queries.QUERIES | function_queries.QUERIES | payload_queries.QUERIES | report_queries.QUERIES | selection_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
