@@ -90,9 +90,14 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     of_model = alike.where("fits").where(F.col("model_docs") < min_docs).select("h", F.col("model").alias("template"))
     # of the others, each place behind the leading tokens is a variable field in turn
     left = alike.where(~F.col("fits") & (10 * (F.col("n") - 1) >= SIMILAR * F.col("n")))
-    one_less = left.select("h", "docs", "tokens", F.explode(F.sequence(F.lit(LEAD), F.col("n") - 1)).alias("place"))
-    held = F.concat_ws(" ", F.slice("tokens", 1, F.col("place")), F.concat(F.lit("\t"), F.col("place").cast("string")), F.slice("tokens", F.col("place") + 2, F.size("tokens")))
-    one_less = materialize(one_less.select("h", "docs", F.md5(held).alias("template")))
+    # a line without the token of a place: the exclusive or of all tokens' hashes, each with its place, without that one's,
+    # so that a place costs two numbers and not the line
+    placed = lambda seed: F.transform("tokens", lambda t, i: F.xxhash64(F.lit(seed), i, t))
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    hashed = left.select("h", "docs", "n", placed(1).alias("p"), placed(2).alias("q")).select("h", "docs", "n", "p", "q", whole("p").alias("x"), whole("q").alias("y"))
+    one_less = hashed.select("h", "docs", "n", "x", "y", F.posexplode(F.slice(F.arrays_zip("p", "q"), LEAD + 1, F.col("n"))).alias("place", "v"))
+    template = F.concat_ws(" ", "n", "place", F.col("x").bitwiseXOR(F.col("v.p")), F.col("y").bitwiseXOR(F.col("v.q")))
+    one_less = materialize(one_less.select("h", "docs", template.alias("template")))
     likely = one_less.groupBy("template").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("template")
     in_place = materialize(spread_join(one_less.select("h", "template"), materialize(likely), ["template"], "h"))
     bad = kinds.where(F.col("docs") >= min_docs).select("h").union(alike.where("fits").where(F.col("model_docs") >= min_docs).select("h"))

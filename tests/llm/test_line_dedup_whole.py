@@ -43,3 +43,18 @@ def test_short_lines_go_as_exact_templates_in_the_pipeline(spark):
     assert left(["\n".join([*short, *stay, o]) for o in own]) == {i: "\n".join([*stay, o]) for i, o in enumerate(own)}
     four = ["Les.\nonly here", "Les.\nand there", "Les.\nor elsewhere", "Les.\nor nowhere"]
     assert left(four) == dict(enumerate(four))
+
+
+def test_one_place_varies_in_lines_of_any_length(spark):
+    base = [f"tok{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(400)]
+    lines = []
+    for i, at in enumerate([7] * 6 + [90, 200]):  # six lines differ in one place, two others in places of their own
+        tokens = base[:3] + [w + "x" * (i // 6) for w in base[3:]]
+        tokens[at] = "vary" + "abcdefgh"[i]
+        lines.append(" ".join(tokens))
+    far = ["tokaa tokba tokca " + " ".join(f"other{c}{chr(97 + j % 26)}" for j in range(397)) for c in "pqrstuv"]
+    got = kept(spark, [f"{line}\nrest of {chr(97 + i)} here" for i, line in enumerate(lines + far)])
+    gone = {i for i, t in got.items() if "\n" not in t}
+    assert gone >= set(range(6)) and not gone & set(range(8, 15))
+    long = kept(spark, ["word " * 30_000 + c for c in "abc"])  # a place of a long line costs two numbers
+    assert len(long) == 3 and all(t.startswith("word") for t in long.values())
