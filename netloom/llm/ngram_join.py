@@ -257,7 +257,7 @@ def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFram
     ends = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     # written, so that the shuffle of all keys for the ends is gone before the one that finds the members
     ends = materialize(ends.select("key", "pivot"))
-    shared = materialize(keyed.join(ends, "key"))
+    shared = materialize(keyed.join(ends.hint("merge"), "key"))
     discard(ends)
     sketches = usable.select("doc_id", "sketch", "n_shingles")
 
