@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netloom.functions import scalars as S
+from netloom.streaming.stateful import quantile
 
 
 def scored(events: DataFrame, thresholds: dict | None = None) -> DataFrame:
@@ -37,16 +40,20 @@ def adaptive_alerts(scores: DataFrame, key: str, window: int = 1000, fpr: float
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = deque(state.get[0] if state.exists else [])
+        ordered = sorted(held)  # beside the scores in their sequence, for this batch
         for frame in frames:
             rows = []
             for row in frame.sort_values("seq").itertuples(index=False):
-                threshold = float(pd.Series(held).quantile(1 - fpr)) if held else float("inf")
+                threshold = quantile(ordered, 1 - fpr)
                 rows.append((k[0], row.seq, row.score, threshold, bool(row.score > threshold)))
                 if row.normal and pd.notna(row.score):
-                    held = (held + [float(row.score)])[-window:]
+                    held.append(float(row.score))
+                    bisect.insort(ordered, held[-1])
+                    if len(held) > window:
+                        del ordered[bisect.bisect_left(ordered, held.popleft())]
             yield pd.DataFrame(rows, columns=[key, "seq", "score", "threshold", "alert"])
-        state.update((held,))
+        state.update((list(held),))
 
     kind = dict(scores.dtypes)[key]
     return scores.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, score double, threshold double, alert boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
