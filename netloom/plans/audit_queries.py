@@ -115,7 +115,7 @@ def session_overlap(df: DataFrame) -> DataFrame:
 r AS (SELECT identity, CASE WHEN fold < 7 THEN 'train' WHEN fold = 7 THEN 'val' WHEN fold = 8 THEN 'meta_known' ELSE 'calibration' END AS role FROM p)
 SELECT r.role, f.label, count(*) AS n, count(DISTINCT f.identity) AS identities FROM families f JOIN r USING (identity) GROUP BY ALL""")
 def grouped_split(df: DataFrame) -> DataFrame:
-    return I.grouped_split(df.drop("role")).groupBy("role", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("identity").alias("identities"))
+    return I.grouped_split(df.drop("role"), every_fold=True).groupBy("role", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("identity").alias("identities"))
 
 
 @query("role_lineage", "families", sql="""

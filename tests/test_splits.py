@@ -29,10 +29,10 @@ def test_a_hot_day_is_spread(spark):
 
 def test_grouped_split_needs_ten_groups_a_class(spark):
     df = spark.range(300).selectExpr("id % 100 AS n", "CASE WHEN id % 100 < 80 THEN 'a' ELSE 'b' END AS label").selectExpr("'i' || n AS identity", "label")
-    out = I.grouped_split(df).groupBy("label", "role").agg(F.countDistinct("identity").alias("n")).collect()
+    out = I.grouped_split(df, every_fold=True).groupBy("label", "role").agg(F.countDistinct("identity").alias("n")).collect()
     assert {(r.label, r.role): r.n for r in out} == {(c, role): share * n for c, n in (("a", 8), ("b", 2)) for role, share in (("train", 7), ("val", 1), ("meta_known", 1), ("calibration", 1))}
     with pytest.raises(ValueError, match="b has 2"):
-        I.grouped_split(df.where("label = 'a' OR identity IN ('i98', 'i99')"))
+        I.grouped_split(df.where("label = 'a' OR identity IN ('i98', 'i99')"), every_fold=True)
 
 
 def test_exact_split(spark):
