@@ -251,8 +251,9 @@ def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFram
     several = materialize(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_id", "rep"))
     own = F.when(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
     members = materialize(spread_join(every.select("doc_id", "n_shingles", "set_id"), several, ["set_id"], "doc_id", "left").select("doc_id", "n_shingles", own))
-    first = members.where("rep = doc_id").select("doc_id").distinct()
-    keyed = usable.join(first, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    # one document of each set; the keys stay where they are while the sets of several documents are few
+    firsts = spread_join(usable, several, ["set_id"], "doc_id", "left").where(F.coalesce("rep", "doc_id") == F.col("doc_id"))
+    keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
     # the least and the greatest member of each bucket, by partial aggregates; buckets of one drop out
     ends = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     # written, so that the shuffle of all keys for the ends is gone before the one that finds the members
