@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
@@ -52,5 +53,7 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], arrow.names)
 
-    rows = df.select(*keys, *rest).repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+    # by one hash of the keys: rows that lie by the keys themselves after a join would not be dealt again, and where that
+    # join turns into a broadcast at run time they lie by nothing
+    rows = df.select(*keys, *rest).repartition(parts, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return rows.mapInArrow(run, schema)

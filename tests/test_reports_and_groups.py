@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from netloom.operators import alerts as A
 from netloom.operators import reports as R
 from netloom.operators.grouped import in_groups
 
@@ -42,3 +43,22 @@ def test_audits(spark):
     assert (empty.identities, empty.mixed_rows, empty.mixed_share, empty.review) == (0, 0, None, False)
     times = R.time_range(spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS t"), "t").first()
     assert (times.rows, times.timed, times.first, times.seconds) == (1, 0, None, None) or times["first"] is None
+
+
+def test_groups_after_a_join_that_turns_into_a_broadcast(spark):
+    """A group of times is whole in one task, however the join before it runs."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "50KB"}  # the groups fit, their times do not
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        events = spark.range(6000, numPartitions=8).selectExpr("id % 3 AS key", "(id * 7919) % 6007 * 20 AS t", "id")
+        got = A.anchored(events, ["key"], "t", "id", 50).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len(got) == 6000
+    for key in range(3):
+        anchor = None
+        for r in sorted((r for r in got if r.key == key), key=lambda r: r.t):
+            anchor = r.t if anchor is None or r.t - anchor > 50 else anchor
+            assert r.cluster_start == anchor
