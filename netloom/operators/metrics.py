@@ -181,14 +181,30 @@ def _resampled(seed: int, stratum: str, replicate: int, upto: np.ndarray) -> np.
     return counts
 
 
+def fused(a: F.Column, b: F.Column, c: F.Column) -> F.Column:
+    """a * b + c of doubles, rounded once: the product's and the sum's rounding errors are added back."""
+    upper = lambda v: v * 134_217_729.0 - (v * 134_217_729.0 - v)
+    p, ah, bh = a * b, upper(a), upper(b)
+    al, bl = a - ah, b - bh
+    s = p + c
+    rest = (p - (s - (s - p))) + (c - (s - p)) + (((ah * bh - p) + ah * bl + al * bh) + al * bl)
+    return F.when(F.isnan(rest), s).otherwise(s + rest)  # not finite, or so large that its upper half is not
+
+
 def adaptive_threshold(df: DataFrame, seq: str, score: str, by: str, window: int = 100, fpr: float = 0.05) -> DataFrame:
     """df with threshold (quantile of the `window` scores before the row; infinite before the first) and alert.
 
-    Each stream `by` is ordered on its own, so streams run in parallel.
+    Each stream `by` is ordered on its own, so streams run in parallel. The quantile is low * (1 - part) + high * part
+    with the first product unrounded, as quantile_cont in DuckDB: a score that equals it must not alert by a last bit.
     """
     before = Window.partitionBy(by).orderBy(seq).rowsBetween(-window, -1)
-    threshold = F.coalesce(F.percentile(F.col(score), F.lit(1.0 - fpr)).over(before), F.lit(float("inf")))
-    return df.withColumn("threshold", threshold).withColumn("alert", F.col(score) > F.col("threshold"))
+    place = F.greatest(F.size("_before") - 1, F.lit(0)) * F.lit(1.0 - fpr)
+    out = df.withColumn("_before", F.array_sort(F.collect_list(F.col(score).cast("double")).over(before))).withColumn("_place", place)
+    at = lambda k: F.try_element_at("_before", k.cast("int") + 1)
+    out = out.withColumns({"_low": at(F.floor("_place")), "_high": at(F.ceil("_place")), "_part": F.col("_place") - F.floor("_place")})
+    threshold = F.when(F.size("_before") > 0, fused(F.col("_low"), 1 - F.col("_part"), F.col("_high") * F.col("_part"))).otherwise(F.lit(float("inf")))
+    out = out.withColumn("threshold", threshold).withColumn("alert", F.col(score) > F.col("threshold"))
+    return out.drop("_before", "_place", "_low", "_high", "_part")
 
 
 def drift(reference: DataFrame, current: DataFrame, p95_ratio: float = 1.5) -> DataFrame:
