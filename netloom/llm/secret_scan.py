@@ -3,7 +3,7 @@
 The base spans come from three fixed patterns. The method adds spans: in a sensitive context (a key-like word
 just before) a candidate string is measured by its marginal compressed bytes: the zstandard frame of
 "surrounding text + candidate" less that of the surrounding text alone, under a dictionary of key words, common prose
-and the word parts of the corpus' own identifiers (`corpus_words`, fitted on a bounded sample of documents). A string
+and the word parts of the corpus' own identifiers (`corpus_words`, counted over all documents). A string
 that neither its surroundings nor the dictionary explain costs what random strings of its length over its own alphabet
 cost there; names, paths and words cost less. Candidates that cost SHARE of that or more are reported as kind novel,
 whole, unless a base span covers all of them. Long candidates are measured in pieces.
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import fraction_of, slices
+from netloom.llm.common import slices
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -60,8 +60,8 @@ DICTIONARY = (
     b"the and ing tion ment ence able with from that this have which there their would about other into than "
     b"die der und den mit ist des ein eine nicht auf sich werden que los las del por con para una les des dans pour "
 )
-#: The corpus' words come from about SAMPLE documents, from LEAST of them or more each, and fill WORD_BYTES at most.
-SAMPLE, LEAST, WORD_BYTES = 2_000, 3, 8192
+#: The corpus' words are the commonest of all documents, in LEAST of them or more each, and fill WORD_BYTES at most.
+LEAST, WORD_BYTES = 3, 8192
 #: Identifiers, and the parts of their names that count as words; shorter parts occur in secrets by chance.
 IDENTIFIER, PART = "[A-Za-z_][A-Za-z0-9_]{3,}", "[A-Z]?[a-z]{3,19}|[A-Z]{4,20}"
 
@@ -75,12 +75,11 @@ def spelled_words(words: list[str]) -> bytes:
 
 
 def corpus_words(docs: DataFrame) -> bytes:
-    """The commonest parts of identifiers in a sample of distinct texts."""
-    keyed = docs.select("text", F.coalesce("doc_id", F.xxhash64("text")).alias("_key"))
-    sample = fraction_of(keyed, "_key", SAMPLE)[0].select("text").distinct()
-    names = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("name"), F.xxhash64("text").alias("doc"))
-    parts = names.select("doc", F.explode(F.regexp_extract_all("name", F.lit(PART), F.lit(0))).alias("part")).distinct()
-    counted = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    """The commonest parts of identifiers over all distinct texts."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))
+    parts = F.array_distinct(F.flatten(F.transform(names, lambda name: F.regexp_extract_all(name, F.lit(PART), F.lit(0)))))
+    once = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("_text"), parts.alias("parts")).dropDuplicates(["_text"])
+    counted = once.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
     return spelled_words([r.part for r in counted.orderBy(F.desc("n"), "part").limit(WORD_BYTES // 4).collect()])
 
 

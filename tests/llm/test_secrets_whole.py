@@ -61,3 +61,11 @@ def test_false_alarms_on_words_and_paths_are_few():
         text = f"{SIDE} the token and the {word} {SIDE}"
         alarms += [word] * bool(secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty))
     assert len(alarms) <= 2, alarms
+
+
+def test_words_come_from_all_documents(spark):
+    """Ten words of three documents each among 6,000: none is missed, and copies of a text count once."""
+    rows = [(i, f"text {i}" + (f" word_{chr(97 + i % 10) * 5}" if i >= 5_970 else "")) for i in range(6_000)]
+    rows += [(10_000 + i, "onlycopies") for i in range(5)]
+    words = secret_scan.corpus_words(spark.createDataFrame(rows, "doc_id long, text string")).decode().split()
+    assert set(words) == {"text", "word", *(chr(97 + i) * 5 for i in range(10))}
