@@ -11,7 +11,7 @@ vectors has one centre for each of them; a centre that loses all its rows stays
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.grouped import in_groups
+from netloom.operators.staged import released, staged
+
 #: Rounds of seeding, and candidates a round and centre on average.
 ROUNDS, OVERSAMPLED = 4, 2
 
@@ -51,29 +54,46 @@ def _classes(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarra
         yield name, at, x[at]
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """label, n, x: each distinct vector of a class with its number of rows, which step() takes in place of the rows."""
+    return rows.groupBy("label", "x").agg(F.count(F.lit(1)).alias("n")).select("label", "n", "x")
+
+
 def step(rows: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
-    """label, centre (its number), n, cost (sum of squared distances), sums (array): rows assigned to their nearest centre."""
+    """label, centre (its number), n, cost (sum of squared distances), sums (array): rows assigned to their nearest centre.
+
+    Tasks add in extended precision and give each sum in two parts, whose sum over the tasks is exact: means do not
+    depend on the order of the rows.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(centres)
-    dims = next(iter(centres.values())).shape[1]
+    weighted = "n" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for batch in batches:
-            for name, _, x in _classes(batch):
+            for name, at, x in _classes(batch):
                 c = shared.value[name]
-                n, cost, sums = held.setdefault(name, [np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(c.shape)])
+                n, sums = held.setdefault(name, [np.zeros(len(c), np.int64), np.zeros((len(c), x.shape[1] + 1), np.longdouble)])
                 d = squared(x, c)
                 near = d.argmin(axis=1)
-                n += np.bincount(near, minlength=len(c))
-                cost += np.bincount(near, d[np.arange(len(x)), near], minlength=len(c))
-                np.add.at(sums, near, x)
-        for name, (n, cost, sums) in held.items():
-            columns = [pa.array([name] * len(n)), pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(cost), pa.array(sums.tolist(), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "centre", "n", "cost", "sums"])
-
-    parts = rows.mapInArrow(run, "label string, centre int, n long, cost double, sums array<double>")
-    added = F.array(*(F.sum(F.col("sums")[i]) for i in range(dims)))
-    return parts.groupBy("label", "centre").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), added.alias("sums"))
+                times = batch.column(1).to_numpy()[at] if weighted else np.ones(len(x), np.int64)
+                np.add.at(n, near, times)
+                values = np.column_stack([d[np.arange(len(x)), near], x]).astype(np.longdouble) * times[:, None]
+                order = np.argsort(near, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(near[order]) > 0]) if len(order) else order
+                if len(order):
+                    sums[near[order][first]] += np.add.reduceat(values[order], first, axis=0)
+        for name, (n, sums) in held.items():
+            high = sums.astype(float)
+            columns = [pa.array([name] * len(n)), pa.array(range(len(n)), pa.int32()), pa.array(n), *(pa.array(v.tolist(), pa.list_(pa.float64())) for v in (high, (sums - high).astype(float)))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "centre", "n", "high", "low"])
+
+    def added(key: tuple, columns: dict[str, np.ndarray]) -> list[tuple]:
+        cost, *sums = (math.fsum(v) for v in zip(*columns["high"], *columns["low"], strict=True))
+        return [(*key, int(columns["n"].sum()), cost, sums)]
+
+    parts = rows.mapInArrow(run, "label string, centre int, n long, high array<double>, low array<double>")
+    return in_groups(parts, ["label", "centre"], [], added, "label string, centre int, n long, cost double, sums array<double>")
 
 
 def moved(centres: dict[str, np.ndarray], sums: list) -> tuple[dict[str, np.ndarray], float, float]:
@@ -93,17 +113,17 @@ def _drawn(rows: DataFrame, centres: dict[str, np.ndarray], costs: dict[str, flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, all_costs = shared.value
         for batch in batches:
-            keys, out = batch.column(1).to_pylist(), ([], [])
+            drawn, out = batch.column(1).to_numpy(), ([], [])
             for name, at, x in _classes(batch):
                 share = squared(x, held[name]).min(axis=1) * each / max(all_costs.get(name, 0.0), 1e-300)
-                for i in np.flatnonzero(share > 0).tolist():
-                    drawn = int(hashlib.md5(f"{seed}|{turn}|{keys[at[i]]}".encode()).hexdigest()[:13], 16) / float(1 << 52)
-                    if drawn < share[i]:
-                        out[0].append(name), out[1].append(x[i].tolist())
+                for i in np.flatnonzero(drawn[at] < share).tolist():
+                    out[0].append(name), out[1].append(x[i].tolist())
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.list_(pa.float64()))], ["label", "x"])
 
-    return rows.mapInArrow(run, "label string, x array<double>").collect()
+    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}|{turn}"), F.coalesce("key", F.lit("None"))))
+    drawn = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return rows.select("label", drawn.alias("drawn"), "x").mapInArrow(run, "label string, x array<double>").collect()
 
 
 def _thinned(points: np.ndarray, weights: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
@@ -129,12 +149,13 @@ def first_rows(rows: DataFrame, k: int, seed: int = 42) -> dict[str, np.ndarray]
     return {name: np.array(x, float) for name, x in found.items()}
 
 
-def seeds(rows: DataFrame, k: int, seed: int = 42) -> dict[str, np.ndarray]:
-    """At most k starting centres for each class."""
+def seeds(rows: DataFrame, k: int, seed: int = 42, vectors: DataFrame | None = None) -> dict[str, np.ndarray]:
+    """At most k starting centres for each class. vectors: the rows as once() gives them."""
+    vectors = rows if vectors is None else vectors
     centres = first_rows(rows, 1, seed)
     for turn in range(ROUNDS if centres else 0):
         costs: dict[str, float] = {}
-        for r in step(rows, centres).groupBy("label").agg(F.sum("cost").alias("cost")).collect():
+        for r in step(vectors, centres).groupBy("label").agg(F.sum("cost").alias("cost")).collect():
             costs[r.label] = r.cost
         if not any(costs.values()):
             break
@@ -142,7 +163,7 @@ def seeds(rows: DataFrame, k: int, seed: int = 42) -> dict[str, np.ndarray]:
             centres[r.label] = np.concatenate([centres[r.label], [r.x]])
     centres = {name: np.unique(c, axis=0) for name, c in centres.items()}
     near = {name: np.zeros(len(c)) for name, c in centres.items()}
-    for r in step(rows, centres).select("label", "centre", "n").collect() if centres else []:
+    for r in step(vectors, centres).select("label", "centre", "n").collect() if centres else []:
         near[r.label][r.centre] = r.n
     random = np.random.default_rng(seed)
     return {name: c if len(c) <= k else _thinned(c, near[name] + 1e-9, k, random) for name, c in sorted(centres.items())}
@@ -150,12 +171,14 @@ def seeds(rows: DataFrame, k: int, seed: int = 42) -> dict[str, np.ndarray]:
 
 def centres(rows: DataFrame, k: int = 25, seed: int = 42, rounds: int = 30, tolerance: float = 1e-4) -> tuple[dict[str, np.ndarray], list[float]]:
     """The centres of each class of usable() rows, and the cost before each round, which never rises."""
-    found, costs = seeds(rows, k, seed), []
+    vectors = staged(once(rows))  # rounds read each distinct vector of a class once
+    found, costs = seeds(rows, k, seed, vectors), []
     for _ in range(rounds if found else 0):
-        found, shift, cost = moved(found, step(rows, found).collect())
+        found, shift, cost = moved(found, step(vectors, found).collect())
         costs.append(cost)
         if shift <= tolerance:
             break
+    released(vectors)
     return found, costs
 
 

@@ -1,8 +1,12 @@
 """Queries against their SQL on tables whose keys go beyond those of the given ones."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
+from netloom.operators import clusters as C
 from netloom.plans import registry
 from netloom.plans.frames import TABLES
 
@@ -34,3 +38,13 @@ def test_scores_that_equal_the_quantile(against_sql):
     few = "SELECT * REPLACE (event_id // 3 AS user_id, [0.03, 1.03, 0.98, 0.1, 1.1, 1.05][event_id % 6 + 1]::DOUBLE AS value) FROM events_given"
     got, want = against_sql("adaptive_threshold", events=few)
     assert got == want
+
+
+def test_means_at_a_half_of_the_last_place(spark):
+    """64 vectors whose mean is 0.9346875: the order and the tasks of the rows do not matter, nor copies counted once."""
+    x = [0.94] * 40 + [0.92] * 23 + [59.82 - 40 * 0.94 - 23 * 0.92]
+    for parts in (1, 3, 7):
+        rows = spark.createDataFrame([("a", str(i), [v]) for i, v in enumerate(x * 2)], "label string, key string, x array<double>").repartition(parts)
+        for held in (rows, C.once(rows)):
+            out = C.step(held, {"a": np.zeros((1, 1))}).first()
+            assert (out.n, out.sums[0]) == (128, math.fsum(x * 2)) and out.cost == pytest.approx(sum(v * v for v in x * 2))
