@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import slices
+from netloom.llm.common import discard, materialize, slices, spread_join
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -75,12 +75,17 @@ def spelled_words(words: list[str]) -> bytes:
 
 
 def corpus_words(docs: DataFrame) -> bytes:
-    """The commonest parts of identifiers over all distinct texts."""
+    """The commonest parts of identifiers over all distinct texts. Only texts that repeat are shuffled, once each."""
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))
     parts = F.array_distinct(F.flatten(F.transform(names, lambda name: F.regexp_extract_all(name, F.lit(PART), F.lit(0)))))
-    once = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("_text"), parts.alias("parts")).dropDuplicates(["_text"])
-    counted = once.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    return spelled_words([r.part for r in counted.orderBy(F.desc("n"), "part").limit(WORD_BYTES // 4).collect()])
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("_text"), "text")
+    several = materialize(texts.groupBy("_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_text"))
+    single = spread_join(texts, several, ["_text"], "_text", "left_anti").select(F.explode(parts).alias("part"))
+    again = spread_join(texts, several, ["_text"], "_text").dropDuplicates(["_text"]).select(F.explode(parts).alias("part"))
+    counted = single.union(again).groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    words = [r.part for r in counted.orderBy(F.desc("n"), "part").limit(WORD_BYTES // 4).collect()]
+    discard(several)
+    return spelled_words(words)
 
 
 class Novelty:
