@@ -1,11 +1,12 @@
 """Hard-negative mining by two-dimensional block matrix multiplication.
 
 Scores are integer inner products of anchors with all rows. Rows are dealt into blocks and every block's vectors cut
-into chunks of dimensions, anchors alike; each (anchor block, row block, chunk) is multiplied by itself, and the
-partial int64 tiles of a block pair are shuffled together and added. Of each added tile only the best rows per
-anchor go on: first those of the anchor's label, which after a merge over all tiles are its positives, then, for each
-positive's window of scores, the best rows of other labels. No task holds more than a few tiles, whatever the rows,
-the labels or their shares.
+into chunks of dimensions, anchors alike; the chunks of each (anchor block, row block) are shuffled together, each
+(anchor block, row block, chunk) is multiplied by itself, and the partial int64 tiles of a block pair are added where
+they are made. Of each added tile only the best rows per anchor go on: first those of the anchor's label, which after
+a merge over all tiles are its positives, then, in a second multiplication, for each positive's window of scores, the
+best rows of other labels. No tile is written or shuffled, no task holds more than one, whatever the rows, the labels
+or their shares, and nothing is broadcast.
 
 Rows: those with a null label, a null vector or a null component take no part. Vectors of different lengths are mined
 apart; vectors without components score 0 with each other. A null vec_id comes after all others of equal score and is
@@ -28,6 +29,10 @@ from netloom.llm.common import discard, materialize, runs
 
 #: Rows of a row block on average, anchors of an anchor block on average, dimensions of a chunk.
 ROWS, ANCHORS, CHUNK = 1024, 128, 32
+#: Rows go to every anchor block: with over CELLS cells those grow, up to WIDER times.
+CELLS, WIDER = 64, 8
+#: The grid is dealt into more tasks from so many bytes of chunks a task on, into so many tasks at most.
+TASK_BYTES, MOST_TASKS = 256 << 20, 4000
 NO_ID = (1 << 63) - 1
 #: Squared length from which a hundred times a score may leave 64 bits.
 LONGEST = 9e16
@@ -51,6 +56,17 @@ def _matrix(raw: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(rows, -1) if rows else np.zeros((0, 0), np.int64)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest of 2, 4 or 8 bytes each that holds them all, behind that number of bytes."""
+    top = max(-int(x.min()), int(x.max())) if x.size else 0
+    size = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+    return bytes([size]) + x.astype(f"<i{size}").tobytes()
+
+
+def _unpacked(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).reshape(rows, -1).astype(np.int64) if rows else np.zeros((0, 0), np.int64)
+
+
 def _long(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int64)
 
@@ -73,7 +89,7 @@ def row_blocks(base: DataFrame, parts: int, chunk: int) -> DataFrame:
             vectors = rows.column(4).combine_chunks().flatten().to_numpy().reshape(len(ids), dims)
             for d, at, to in _chunks(dims, chunk):
                 meta = (ids.tobytes(), labels.tobytes()) if d == 0 else (None, None)
-                row = (dims, b, d, len(ids), *meta, vectors[:, at:to].tobytes())
+                row = (dims, b, d, len(ids), *meta, _packed(vectors[:, at:to]))
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES_B, row, strict=True))], _SCHEMA_B)
 
     at = ["dims", "b"]
@@ -89,7 +105,7 @@ def anchor_blocks(base: DataFrame, parts: int, chunk: int) -> DataFrame:
             vectors = rows.column(6).combine_chunks().flatten().to_numpy().reshape(len(ids), dims)
             own = np.stack([block, place], axis=1).tobytes()
             for d, at, to in _chunks(dims, chunk):
-                row = (dims, a, d, len(ids), ids.tobytes(), labels.tobytes(), own, vectors[:, at:to].tobytes())
+                row = (dims, a, d, len(ids), ids.tobytes(), labels.tobytes(), own, _packed(vectors[:, at:to]))
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES_A, row, strict=True))], _SCHEMA_A)
 
     rows = base.where("anchor").select("dims", "a", "id", "label", "b", "place", "vector")
@@ -103,9 +119,6 @@ def _schema(ddl: str) -> pa.Schema:
 
 _SCHEMA_B, _SCHEMA_A = _schema(_BLOCK), _schema(_ANCHOR)
 _NAMES_B, _NAMES_A = _SCHEMA_B.names, _SCHEMA_A.names
-_META = "m int, n int, a_ids binary, a_labels binary, own binary, ids binary, labels binary"
-_PARTIAL = f"dims int, a int, b int, d int, tile binary, {_META}"
-_TILE = f"dims int, a int, b int, tile binary, {_META}"
 
 
 def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -118,44 +131,53 @@ def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
-def partial_tiles(blocks: DataFrame, anchors: DataFrame, n_blocks: int, n_anchors: int) -> DataFrame:
-    """The product of each anchor block, row block and chunk. A block goes to the cells of its row or column of the grid."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(_PARTIAL)
-        for batch in batches:
-            for r in batch.to_pylist():
-                tile = product(_matrix(r.pop("a_part"), r["m"]), _matrix(r.pop("part"), r["n"]))
-                if r["d"]:
-                    r["a_ids"] = r["a_labels"] = r["own"] = None
-                yield pa.RecordBatch.from_pylist([r | {"tile": tile.tobytes()}], schema)
+def cells(blocks: DataFrame, anchors: DataFrame, n_blocks: int, n_anchors: int, parts: int) -> DataFrame:
+    """The chunks of both sides of each cell of the grid (dims, a, b), one behind the other, the anchors' before the rows'.
 
+    A block goes to all cells of its row or column of the grid. Nothing is joined: chunks of small whole numbers are
+    packed to a fraction of their size, by which a join would send one side to the driver and from there to all executors.
+    """
     along = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = blocks.withColumn("a", along(n_anchors)).join(anchors.withColumn("b", along(n_blocks)), ["dims", "a", "b", "d"])
-    return grid.mapInArrow(run, _PARTIAL)
+    none = lambda kind: F.lit(None).cast(kind)
+    names = ["dims", "a", "b", "d", "side", "n", "ids", "labels", "own", "part", "positives"]
+    left = anchors.withColumns({"b": along(n_blocks), "side": F.lit(0)}).withColumnsRenamed({"m": "n", "a_ids": "ids", "a_labels": "labels", "a_part": "part"})
+    if "positives" not in left.columns:
+        left = left.withColumn("positives", none(_POSITIVES))
+    right = blocks.withColumns({"a": along(n_anchors), "side": F.lit(1), "own": none("binary"), "positives": none(_POSITIVES)})
+    at = ["dims", "a", "b"]
+    return left.select(names).union(right.select(names)).repartition(parts, *at).sortWithinPartitions(*at, "d", "side")
 
 
-def added_tiles(partial: DataFrame, parts: int) -> DataFrame:
-    """The sum of the partial tiles of each anchor block and row block."""
-    names = [c.split()[0] for c in _TILE.split(", ")]
+_POSITIVES = "array<struct<i:int,p:int,score:bigint,id:bigint>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, now, total = _schema(_TILE), None, None
-        made = lambda: pa.RecordBatch.from_pylist([{k: now[k] for k in names if k != "tile"} | {"tile": total.tobytes()}], schema)
-        for batch in batches:
-            for r in batch.to_pylist():
-                tile = _long(r["tile"])
-                if now is not None and all(r[k] == now[k] for k in ("dims", "a", "b")):
-                    total += tile
-                    continue
-                if now is not None:
-                    yield made()
-                now, total = r, tile.copy()
-        if now is not None:
-            yield made()
 
-    at = ["dims", "a", "b"]
-    return partial.repartition(parts, *at).sortWithinPartitions(*at, "d").mapInArrow(run, _TILE)
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Of each cell with both sides, its tile (the sum of its chunks' products) and what is known of its anchors and rows.
+
+    A task holds one tile and the two chunks that are multiplied.
+    """
+    now, left, cell = None, (None, None), {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            at = r["dims"], r["a"], r["b"]
+            if at != now:
+                if "tile" in cell:
+                    yield cell
+                now, left, cell = at, (None, None), {"dims": r["dims"], "a": r["a"], "b": r["b"]}
+            part = _unpacked(r["part"], r["n"])
+            if r["side"] == 0:
+                left = r["d"], part
+                if r["d"] == 0:
+                    cell |= {"m": r["n"], "a_ids": r["ids"], "a_labels": r["labels"], "own": r["own"], "positives": r["positives"] or []}
+            elif left[0] == r["d"]:
+                made = product(left[1], part)
+                if r["d"] == 0:
+                    cell |= {"n": r["n"], "ids": r["ids"], "labels": r["labels"], "tile": made}
+                else:
+                    cell["tile"] += made
+    if "tile" in cell:
+        yield cell
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -166,49 +188,62 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def positive_candidates(tiles: DataFrame, k: int) -> DataFrame:
-    """dims, a, i, score, id: of each tile, the first k other rows of each anchor's label."""
+#: Candidates are handed on from so many rows.
+_HELD = 20_000
+
+
+def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema.names)
+
+
+def positive_candidates(grid: DataFrame, k: int) -> DataFrame:
+    """dims, a, i, score, id: of each cell's tile, the first k other rows of each anchor's label."""
+    out_ddl = "dims int, a int, i int, score long, id long"
+    schema = _schema(out_ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                tile, ids, labels, of = _matrix(r["tile"], r["m"]), _long(r["ids"]), _long(r["labels"]), _long(r["a_labels"])
-                own = _matrix(r["own"], r["m"])
-                for i in range(r["m"]):
-                    same = labels == of[i]
-                    if own[i, 0] == r["b"]:
-                        same[own[i, 1]] = False
-                    same = np.flatnonzero(same)
-                    for j in same[best(tile[i, same], ids[same], k)].tolist():
-                        out.append((r["dims"], r["a"], i, int(tile[i, j]), int(ids[j])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema.names)
-
-    schema = _schema("dims int, a int, i int, score long, id long")
-    return tiles.select("dims", "a", "b", "m", "tile", "ids", "labels", "a_labels", "own").mapInArrow(run, "dims int, a int, i int, score long, id long")
-
-
-def negative_candidates(tiles: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """Of each tile with its anchors' positives, the first k rows of other labels in each positive's window."""
+        out = []
+        for r in tiles(batches):
+            tile, ids, labels, of = r["tile"], _long(r["ids"]), _long(r["labels"]), _long(r["a_labels"])
+            own = _matrix(r["own"], r["m"])
+            for i in range(r["m"]):
+                same = labels == of[i]
+                if own[i, 0] == r["b"]:
+                    same[own[i, 1]] = False
+                same = np.flatnonzero(same)
+                for j in same[best(tile[i, same], ids[same], k)].tolist():
+                    out.append((r["dims"], r["a"], i, int(tile[i, j]), int(ids[j])))
+            if len(out) > _HELD:
+                yield _rows(out, schema)
+                out = []
+        if out:
+            yield _rows(out, schema)
+
+    return grid.mapInArrow(run, out_ddl)
+
+
+def negative_candidates(grid: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """Of each cell's tile with its anchors' positives, the first k rows of other labels in each positive's window."""
     out_ddl = "dims int, a int, i int, p int, anchor_id long, positive_id long, positive_score long, negative_score long, id long"
+    schema = _schema(out_ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                tile, ids, labels = _matrix(r["tile"], r["m"]), _long(r["ids"]), _long(r["labels"])
-                of, names = _long(r["a_labels"]), _long(r["a_ids"])
-                for p in r["positives"]:
-                    i, score = p["i"], p["score"]
-                    at = np.flatnonzero((labels != of[i]) & (100 * tile[i] >= low * score) & (100 * tile[i] <= high * score))
-                    for j in at[best(tile[i, at], ids[at], k)].tolist():
-                        out.append((r["dims"], r["a"], i, p["p"], int(names[i]), p["id"], score, int(tile[i, j]), int(ids[j])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema.names)
-
-    schema = _schema(out_ddl)
-    return tiles.select("dims", "a", "b", "m", "tile", "ids", "labels", "a_labels", "a_ids", "positives").mapInArrow(run, out_ddl)
+        out = []
+        for r in tiles(batches):
+            tile, ids, labels = r["tile"], _long(r["ids"]), _long(r["labels"])
+            of, names = _long(r["a_labels"]), _long(r["a_ids"])
+            for p in r["positives"]:
+                i, score = p["i"], p["score"]
+                at = np.flatnonzero((labels != of[i]) & (100 * tile[i] >= low * score) & (100 * tile[i] <= high * score))
+                for j in at[best(tile[i, at], ids[at], k)].tolist():
+                    out.append((r["dims"], r["a"], i, p["p"], int(names[i]), p["id"], score, int(tile[i, j]), int(ids[j])))
+            if len(out) > _HELD:
+                yield _rows(out, schema)
+                out = []
+        if out:
+            yield _rows(out, schema)
+
+    return grid.mapInArrow(run, out_ddl)
 
 
 def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, block: int = ROWS, anchor_block: int = ANCHORS, chunk: int = CHUNK) -> DataFrame:
@@ -227,21 +262,26 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     number = F.monotonically_increasing_id()  # written at once, so that it holds from here on
     base = usable.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), F.col("label").cast("long").alias("label"), checked.alias("vector"), (F.coalesce(anchors, F.lit(False)) & F.col("vec_id").isNotNull()).alias("anchor"), number.alias("number"))
     base = materialize(base.withColumn("dims", F.size("vector")).withColumn("b", F.pmod(F.xxhash64("number"), F.lit(n_blocks)).cast("int")))
-    n_anchors = max(1, -(-base.where("anchor").count() // anchor_block))
+    seen = base.agg(F.count_if("anchor"), F.max("dims")).first()
+    most = WIDER * anchor_block
+    while anchor_block < most and seen[0] > anchor_block and n_blocks * -(-seen[0] // anchor_block) > CELLS:
+        anchor_block *= 2
+    n_anchors = max(1, -(-seen[0] // anchor_block))
     placed = base.withColumn("place", F.row_number().over(Window.partitionBy("dims", "b").orderBy("number")) - 1)
     placed = placed.withColumn("a", F.pmod(F.xxhash64(F.lit(1), "number"), F.lit(n_anchors)).cast("int"))
-    blocks = row_blocks(placed, parts, chunk)
-    grid = partial_tiles(blocks, anchor_blocks(placed, parts, chunk), n_blocks, n_anchors)
-    tiles = materialize(added_tiles(grid, parts))
-    discard(base)
+    blocks, own = row_blocks(placed, parts, chunk), anchor_blocks(placed, parts, chunk)
+    bytes_ = 8 * (seen[1] or 1) * n_anchors * n_blocks * (block + anchor_block)
+    spread = max(parts, min(MOST_TASKS, bytes_ // TASK_BYTES))
     order = Window.partitionBy("dims", "a", "i").orderBy(F.desc("score"), "id")
-    first = positive_candidates(tiles, positives).withColumn("p", F.row_number().over(order)).where(F.col("p") <= positives)
+    first = positive_candidates(cells(blocks, own, n_blocks, n_anchors, spread), positives).withColumn("p", F.row_number().over(order)).where(F.col("p") <= positives)
     # at most anchor_block * positives or so in a list
     first = materialize(first.groupBy("dims", "a").agg(F.collect_list(F.struct("i", "p", "score", "id")).alias("positives")))
-    found = negative_candidates(tiles.join(first, ["dims", "a"]), negatives, low, high)
+    # tiles are multiplied again rather than written: they hold anchors x rows numbers
+    own = own.join(first.withColumn("d", F.lit(0)).hint("merge"), ["dims", "a", "d"], "left")
+    found = negative_candidates(cells(blocks, own, n_blocks, n_anchors, spread), negatives, low, high)
     order = Window.partitionBy("dims", "a", "i", "p").orderBy(F.desc("negative_score"), "id")
     found = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives))
-    discard(tiles)
+    discard(base)
     discard(first)
     named = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return found.select("anchor_id", named("positive_id").alias("positive_id"), "rank", named("id").alias("negative_id"), "positive_score", "negative_score")

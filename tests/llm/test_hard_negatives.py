@@ -69,3 +69,20 @@ def test_products_are_exact(spark):
 def test_ties_go_to_smaller_ids():
     scores, ids = np.array([3, 9, 9, 9, 1, 9, 2, 2, 2, 2, 2]), np.array([1, 9, 4, 7, 2, 3, 5, 6, 8, 10, 11])
     assert ids[H.best(scores, ids, 2)].tolist() == [3, 4] and len(H.best(scores[:0], ids[:0], 2)) == 0
+
+
+def test_nothing_of_the_grid_is_broadcast(spark):
+    """Chunks that pack well were taken for small by a join and went through the driver."""
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("label"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i % 3 + F.col("id") % 2).alias("vector"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64k")
+    try:
+        got = H.mine(rows, F.col("vec_id") % 20 == 0, low=0).count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == 150 * 25
+
+
+def test_chunks_are_packed_exactly():
+    for top in (1, 1 << 15, 1 << 31, 1 << 40):
+        x = np.array([[top, -top, 0], [top - 1, 1 - top, 5]])
+        assert H._unpacked(H._packed(x), 2).tolist() == x.tolist()
