@@ -85,7 +85,7 @@ _C = np.sqrt(2 / np.pi)
 
 def gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The value (tanh form) and its slope."""
-    t = np.tanh(_C * (x + 0.044715 * x**3))
+    t = np.tanh(_C * (x + 0.044715 * (x * x * x)))
     return 0.5 * x * (1 + t), 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * _C * (1 + 3 * 0.044715 * x * x)
 
 
@@ -170,7 +170,7 @@ class Pass:
         z, p_back = self.chain(["p0", "p1"], h)
         length = np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-12)
         e = z / length
-        con, d_e = contrastive_loss(e, y, shape.pair)
+        con, d_e = contrastive_loss(e, y, shape.pair, slopes)
         again, ae_back = self.chain([f"ae{i}" for i in range(6)], x)
         rest = again - x
         ae = float((rest**2).mean())
@@ -209,33 +209,49 @@ def focal_loss(logits: np.ndarray, y: np.ndarray, shape: Shape) -> tuple[float,
     return float((times * far**shape.gamma * ce).mean()), slope
 
 
-def contrastive_loss(e: np.ndarray, y: np.ndarray, pair: tuple[int, int] | None) -> tuple[float, np.ndarray]:
-    """Supervised contrastive loss of rows of length 1, with the hardest negatives between one pair of classes."""
+def contrastive_loss(e: np.ndarray, y: np.ndarray, pair: tuple[int, int] | None, slopes: bool = True) -> tuple[float, np.ndarray]:
+    """Supervised contrastive loss of rows of length 1, with the hardest negatives between one pair of classes.
+
+    Of all pairs of rows only the similarities are made; what concerns rows of one class comes from sums over classes.
+    """
     n = len(e)
     cos = e @ e.T
-    sim = cos / TEMPERATURE
-    np.fill_diagonal(sim, -np.inf)
-    positive = y[:, None] == y[None, :]
-    np.fill_diagonal(positive, False)
-    count = positive.sum(axis=1)
+    _, own = np.unique(y, return_inverse=True)
+    each = np.eye(own.max() + 1)[own] if n else np.zeros((0, 0))
+    mates = lambda v: (each.T @ v)[own] - v  # noqa: E731  (of each row, the sum over the other rows of its class)
+    count = mates(np.ones((n, 1)))[:, 0] if n else np.zeros(0)
     valid = count > 0
-    value, slope = 0.0, np.zeros_like(cos)
+    value, slope = 0.0, np.zeros_like(e)
     if valid.any() and n > 1:
-        top = sim.max(axis=1, keepdims=True)
-        shifted = np.exp(sim - top)
-        total = shifted.sum(axis=1, keepdims=True)
-        logs = np.where(positive, sim - top - np.log(total), 0.0)
-        value = float(-(logs.sum(axis=1)[valid] / count[valid]).mean())
-        slope = (shifted / total - positive / np.maximum(count, 1)[:, None]) * valid[:, None] / valid.sum() / TEMPERATURE
+        # no similarity of rows of length 1 is over 1 / TEMPERATURE, nor so far below it that its share is lost
+        near = cos - 1
+        near /= TEMPERATURE
+        np.exp(near, out=near)
+        np.fill_diagonal(near, 0)
+        total = near.sum(axis=1)
+        logs = (e * mates(e)).sum(axis=1) / TEMPERATURE - count * (1 / TEMPERATURE + np.log(total))
+        value = float(-(logs[valid] / count[valid]).mean())
+        if slopes:
+            part = valid / valid.sum() / TEMPERATURE
+            a, c = (part / total)[:, None], (part / np.maximum(count, 1))[:, None]
+            slope = a * (near @ e) + near @ (a * e) - c * mates(e) - mates(c * e)
     if pair:
-        cross = ((y[:, None] == pair[0]) & (y[None, :] == pair[1])) | ((y[:, None] == pair[1]) & (y[None, :] == pair[0]))
-        at = np.flatnonzero(cross)
-        if len(at):
-            at = at[np.argsort(-cos.ravel()[at], kind="stable")[:NEGATIVE_TOP]]
-            u = (cos.ravel()[at] - NEGATIVE_MARGIN) / TEMPERATURE
+        a, b = np.flatnonzero(y == pair[0]), np.flatnonzero(y == pair[1])
+        cross = cos[np.ix_(a, b)].ravel() if pair[0] != pair[1] else np.zeros(0)
+        if len(cross):
+            # each pair of rows counts in both orders; only the nearest ones are put in order
+            least = min(len(cross), -(-NEGATIVE_TOP // 2))
+            at = np.flatnonzero(cross >= np.partition(cross, len(cross) - least)[len(cross) - least])
+            i, j = a[at // len(b)], b[at % len(b)]
+            i, j, near = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(cross[at], 2)
+            first = np.lexsort((i * n + j, -near))[:NEGATIVE_TOP]
+            i, j, u = i[first], j[first], (near[first] - NEGATIVE_MARGIN) / TEMPERATURE
             value += NEGATIVE_WEIGHT * float(np.logaddexp(0, u).mean())
-            slope.ravel()[at] += NEGATIVE_WEIGHT / (1 + np.exp(-u)) / TEMPERATURE / len(at)
-    return value, (slope + slope.T) @ e
+            if slopes:
+                g = (NEGATIVE_WEIGHT / (1 + np.exp(-u)) / TEMPERATURE / len(first))[:, None]
+                np.add.at(slope, i, g * e[j])
+                np.add.at(slope, j, g * e[i])
+    return value, slope
 
 
 def rows_of(df: DataFrame, key: str, features: list[str], label: str, classes: list[str]) -> DataFrame:

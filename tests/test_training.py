@@ -96,3 +96,22 @@ def test_training_edges(spark):
         N.round_sums(empty, SHAPE, N.start(SHAPE))
     odd = spark.createDataFrame([(1, None, 1.0, 1.0, 1.0, "a"), (2, float("nan"), 1.0, 1.0, 1.0, "a"), (3, 1.0, 1.0, 1.0, 1.0, None), (4, 1.0, 1.0, 1.0, 1.0, "b")], df.schema)
     assert [r.key for r in N.rows_of(odd, "id", ["f0", "f1", "f2", "f3"], "label", list("abc")).collect()] == ["4"]
+
+
+def test_contrast_makes_few_numbers_a_pair():
+    """A chunk's cost is what it makes for each pair of its rows: two arrays of similarities, and the plain formula's value."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    e, y, n = r.normal(size=(600, 8)), r.integers(0, 3, 600), 600
+    e /= np.sqrt((e * e).sum(axis=1, keepdims=True))
+    tracemalloc.start()
+    value, _ = N.contrastive_loss(e, y, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sim = e @ e.T / N.TEMPERATURE
+    np.fill_diagonal(sim, -np.inf)
+    mates = (y[:, None] == y[None, :]) & ~np.eye(n, dtype=bool)
+    logs = np.where(mates, sim - np.log(np.exp(sim).sum(axis=1, keepdims=True)), 0.0)
+    assert abs(value + (logs.sum(axis=1) / mates.sum(axis=1)).mean()) < 1e-9
+    assert peak < 3 * 8 * n * n
