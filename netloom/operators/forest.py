@@ -83,16 +83,28 @@ class Forest:
         at = nodes.tree.to_numpy(), nodes.node.to_numpy()
         self.feature[at], self.cut[at] = nodes.feature, nodes.cut
         self.path[at] = np.floor(np.log2(nodes.node)) + mean_depth(nodes.rows.to_numpy())
+        # for walks without a question at leaves: below a leaf all rows go left, and its path stands in the last level
+        self.walk, self.walk_cut, self.walk_path = np.maximum(self.feature, 0).astype(np.int64), np.where(self.feature < 0, np.inf, self.cut), self.path.copy()
+        ends = self.feature < 0
+        for level in range(depth):
+            for node in range(1 << level, 2 << level):
+                at_leaf = ends[:, node]
+                for below in (2 * node, 2 * node + 1):
+                    self.walk_path[at_leaf, below] = self.walk_path[at_leaf, node]
+                    self.walk_cut[at_leaf, below] = np.inf
+                    ends[at_leaf, below] = True
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / mean depth) of each row: near 1 for rows that few splits part from the rest."""
-        total, line = np.zeros(len(x)), np.arange(len(x))
-        for feature, cut, path in zip(self.feature, self.cut, self.path, strict=True):
+        total, values = np.zeros(len(x)), np.ascontiguousarray(x, np.float64).ravel()
+        base = np.arange(len(x)) * x.shape[1] if len(x) else np.zeros(0, np.int64)
+        for feature, cut, path in zip(self.walk, self.walk_cut, self.walk_path, strict=True):
             node = np.ones(len(x), np.int64)
             for _ in range(self.depth):
-                f = feature[node]
-                node = np.where(f < 0, node, 2 * node + (x[line, f] > cut[node]))
-            total += path[node]
+                over = values.take(base + feature.take(node)) > cut.take(node)
+                node *= 2
+                node += over
+            total += path.take(node)
         return 2.0 ** (-(total / len(self.feature)) / max(float(mean_depth(self.per_tree)), 1e-12))
 
 

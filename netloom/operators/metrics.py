@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import scalars as S
 from netloom.operators.running import quantiles, running
+from netloom.operators.staged import staged
 
 #: Distinct scores of a bootstrap, 24 bytes each on every executor.
 MOST_SCORES = 2_000_000
@@ -58,10 +59,11 @@ def identity_means(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(score).alias(score), F.count(F.lit(1)).alias("rows"))
 
 
-def ranking(df: DataFrame, score: str, positive: F.Column, keys: list[str] | None = None) -> DataFrame:
-    """keys, positives, negatives, auroc, average_precision: by counts at distinct scores, ties shared."""
+def ranking(df: DataFrame, score: str, positive: F.Column, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """keys, positives, negatives, auroc, average_precision: by counts at distinct scores, ties shared. A row stands for `weight` rows."""
     keys = keys or []
-    at = df.groupBy(*keys, (-F.col(score)).alias("x")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    number = lambda cond: F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0)) if weight else F.count_if(cond)
+    at = df.groupBy(*keys, (-F.col(score)).alias("x")).agg(number(positive).alias("p"), number(~positive).alias("n"))
     run = running(at, keys, "x", ["p", "n"]).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp"})
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + F.col("n") * F.col("p") / 2.0)
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -236,8 +238,9 @@ def compared_methods(df: DataFrame, target_fpr: float) -> DataFrame:
     A method's threshold is the (1 - target_fpr) quantile of its values on rows that are no attack; alerts lie over it.
     """
     attack = F.col("attack")
-    cut = quantiles(df.where(~attack), ["method"], "v", {"cut": 1 - target_fpr}).select("method", "cut")
+    df = staged(df.groupBy("method", "v", "attack").agg(F.count(F.lit(1)).alias("_w")))  # read by all that follows: values are made once
+    cut = quantiles(df.where(~attack), ["method"], "v", {"cut": 1 - target_fpr}, "_w").select("method", "cut")
     over = F.col("v") > F.col("cut") + 1e-9  # a quantile between equal values may round up
-    share = lambda of: F.avg(F.when(of, over.cast("double")))
+    share = lambda of: F.sum(F.when(of & over.isNotNull(), over.cast("long") * F.col("_w"))) / F.sum(F.when(of & over.isNotNull(), F.col("_w")))
     rates = df.join(F.broadcast(cut), "method").groupBy("method").agg(share(F.lit(True)).alias("alert_rate"), share(~attack).alias("normal_fpr"), share(attack).alias("attack_detection_rate"))
-    return ranking(df, "v", attack, ["method"]).select("method", "auroc", F.col("average_precision").alias("auprc")).join(rates, "method")
+    return ranking(df, "v", attack, ["method"], "_w").select("method", "auroc", F.col("average_precision").alias("auprc")).join(rates, "method")
