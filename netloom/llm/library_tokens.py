@@ -235,3 +235,11 @@ def loaded(path: str) -> LibraryTokens:
     if path not in _LOADED:
         _LOADED[path] = LibraryTokens(path)
     return _LOADED[path]
+
+
+def dropped() -> None:
+    """Frees the words that a Python worker keeps, at the beginning of a task of an operator that needs none of them."""
+    if _LOADED:
+        _LOADED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

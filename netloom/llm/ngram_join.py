@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm import library_tokens
 from netloom.llm.cells import in_cells
 from netloom.llm.common import TwoGenerations, discard, materialize, slices, spread_join
 from netloom.llm.components import components
@@ -151,6 +152,7 @@ def sets(docs: DataFrame, n: int = N, with_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, set_id (16 bytes: equal for equal sets), and with_keys: sketch, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         for batch in slices(batches):
             _HASHES.turn()
             sizes, ids, sketches, keys = [], [], [], []
@@ -176,6 +178,7 @@ def hash_sets(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, shingles (sorted 64-bit hashes as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         for batch in slices(batches):
             _HASHES.turn()
             s = [shingles(words(t), _HASHES, n).tobytes() for t in batch.column(1).to_pylist()]

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm import library_tokens
 from netloom.llm.common import slices
 
 #: At most so many labelled rows are learnt from, chosen by a hash of doc_id.
@@ -141,6 +142,7 @@ def statistics_frame(docs: DataFrame) -> DataFrame:
     """doc_id, x (array of the FEATURES)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         for batch in slices(batches):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -166,6 +168,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         for batch in slices(batches):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.scores(x))], ["doc_id", "score"])
@@ -178,6 +181,7 @@ def accepted(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         for batch in slices(batches):
             x = np.array([statistics(t) for t in batch.column(place).to_pylist()], np.float64)
             yield batch.filter(pa.array(forest.scores(x) >= least))

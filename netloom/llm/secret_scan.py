@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm import library_tokens
 from netloom.llm.common import discard, materialize, slices, spread_join
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -166,6 +167,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return "".join([*out, text[at:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         novelty = Novelty(words)
         for batch in slices(batches):
             texts = pa.array([clean(t, novelty) for t in batch.column(place).to_pylist()], pa.string())
@@ -179,6 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
     words = corpus_words(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_tokens.dropped()
         novelty = Novelty(words)
         for batch in slices(batches):
             rows = []
