@@ -10,11 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stages of a model input, in order, and what joins vectors that were apart before each.
 CAUSES = {"encoded": "category encoding or numeric preparation", "scaled": "affine transform rounding", "single": "rounding to single precision"}
+#: Rows of a part in which a task tells vectors apart.
+PART_ROWS = 250_000
 
 
 def _pandas(fn, kind: str, *columns: Column) -> Column:
@@ -84,18 +88,47 @@ def merged_features(df: DataFrame, features: list[str], role: str | None = None)
     return out.withColumn("in_last_places", F.col("absolute") / F.col("last_place"))
 
 
+def _once(df: DataFrame, n: str) -> DataFrame:
+    """The rows of df with `n` 1 each, those that are equal within an Arrow batch as one: a row that is a large share of df
+    costs a row a batch, and no task keeps a table of its distinct rows for that. Nested columns are left as they are."""
+    ones = df.withColumn(n, F.lit(1).cast("long"))
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema):
+        return ones
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = table.column_names[:-1]
+            summed = table.group_by(keys).aggregate([(n, "sum")]).select([*keys, f"{n}_sum"]).rename_columns([*keys, n])
+            yield from summed.cast(table.schema).combine_chunks().to_batches()
+
+    return ones.mapInArrow(run, ones.schema)
+
+
 def merge_causes(df: DataFrame, stages: list[str], identity: str) -> DataFrame:
     """stage, cause, groups, rows, identities: groups that are one at a stage and were several one before.
 
-    df has a fingerprint column for each stage, in order, the first being the raw identity's.
+    df has a fingerprint column for each stage, in order, the first being the raw identity's. Rows are dealt by identity and
+    first fingerprint into parts of about PART_ROWS, the more the more rows there are, so that what a task holds does not
+    grow with df; that serves two stages, and later ones are dealt again by identity and fingerprint.
     """
     names = [identity, *stages]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+    deal = lambda rows, *keys: rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).repartitionById(parts, "_part")
+    vectors = deal(_once(df.select(*names), "_n"), *names[:2]).groupBy("_part", *names).agg(F.sum("_n").alias("_n"))  # one shuffle for all stages
     out = None
-    for before, after in zip(names, names[1:], strict=False):
-        pairs = df.groupBy(after, before, identity).agg(F.count(F.lit(1)).alias("n")) if before != identity else df.groupBy(after, identity).agg(F.count(F.lit(1)).alias("n"))
-        inner = pairs.groupBy(after, before).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
-        groups = inner.groupBy(after).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        row = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("ids"), F.lit(0)).alias("identities"))
+    for i, (before, after) in enumerate(zip(names, names[1:], strict=False)):
+        keys = list(dict.fromkeys((after, before, identity)))
+        triples = vectors.groupBy("_part", *keys).agg(F.sum("_n").alias("_n"))
+        if i > 1:
+            triples = deal(triples, identity, before).groupBy("_part", *keys).agg(F.sum("_n").alias("_n"))
+        ends = [] if before == identity else [f(before).alias(n) for f, n in ((F.min, "_lo"), (F.max, "_hi"), (F.count, "_some"))]
+        again = [] if before == identity else [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_some").alias("_some")]
+        held = triples.groupBy("_part", after).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("ids"), *ends)
+        groups = held.repartition(parts, after).groupBy(after).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), *again)
+        # several before: more than one identity, or fingerprints that differ, or a null and others
+        several = F.col("ids") > 1 if before == identity else (F.col("_lo") < F.col("_hi")) | ((F.col("_some") > 0) & (F.col("_some") < F.col("ids")))
+        row = groups.where(several).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("ids"), F.lit(0)).alias("identities"))
         row = row.select(F.lit(after).alias("stage"), F.lit(CAUSES.get(after, "merge")).alias("cause"), "groups", "rows", "identities")
         out = row if out is None else out.unionByName(row)
     return out

@@ -1,5 +1,7 @@
 """Distances in last places, merges, root causes, and a named breach for each rule of the retraining gate."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,34 @@ def test_merge_causes(spark):
     assert got == {"encoded": (1, 2, 2), "scaled": (1, 3, 3), "single": (1, 4, 4)}
 
 
+def test_merges_are_told_apart_in_parts_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_ROWS", 50, raising=False)
+    draw = np.random.default_rng(5)
+    some = lambda k: None if (v := int(draw.integers(0, k))) == 0 else v
+    rows = [(None if (i := some(40)) is None else f"i{i}", some(30), [0.0, -0.0, 1.5, None, 2.5][draw.integers(0, 5)], some(6)) for _ in range(1400)] + [("hot", 1, -0.0, 2)] * 600
+    names, stages = ["identity", "encoded", "scaled", "single"], ["encoded", "scaled", "single"]
+    want = {}
+    for before, after in ((0, 1), (1, 2), (2, 3)):
+        groups = {}
+        for r in rows:
+            n, parts, ids = groups.setdefault(r[after], ([], set(), set()))
+            n.append(r), parts.add(r[before]), ids.add((r[before], r[0]))
+        merged = [g for g in groups.values() if len(g[1]) > 1]
+        want[names[after]] = (len(merged), sum(len(g[0]) for g in merged), sum(len(g[2]) for g in merged))
+    df = spark.createDataFrame(rows, "identity string, encoded int, scaled double, single int").repartition(3)
+    for held in (df, df.withColumn("scaled", F.array("scaled"))):  # nested fingerprints are not summed in batches
+        out = X.merge_causes(held, stages, "identity")
+        assert {r.stage: (r.groups, r.rows, r.identities) for r in out.collect()} == want
+    deals = re.findall(r"direct_shuffle_partition_id\(\S+\), (\d+)\)", out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString())
+    assert set(deals) == {"40"}  # 2,000 rows in parts of 50
+
+
+def test_equal_rows_of_a_batch_are_one(spark):
+    df = spark.range(3000, numPartitions=1).select(F.lit("a").alias("identity"), F.when(F.col("id") < 2990, 1.5).alias("v"))
+    out = X._once(df, "n").collect()
+    assert len(out) <= 3 and {(v, sum(r.n for r in out if r.v == v)) for v in (1.5, None)} == {(1.5, 2990), (None, 10)}
+
+
 def test_root_causes(spark):
     rows = [
         (1, "a", "tcp", "x", "N"), (1, "a", "tcp", "x", "F"),  # one record, two labels
