@@ -72,6 +72,8 @@ CONTEXT_COUNTS = {
     "ct_srv_src": ("srcip", "service"), "ct_srv_dst": ("dstip", "service"), "ct_dst_ltm": ("dstip",), "ct_src_ltm": ("srcip",),
     "ct_src_dport_ltm": ("srcip", "dsport"), "ct_dst_sport_ltm": ("dstip", "sport"), "ct_dst_src_ltm": ("srcip", "dstip"),
 }
+#: Keys up to which the counts of a context go to all executors; with more, rows and counts are shuffled.
+MOST_KEYS = 100_000
 
 
 def clean_name(name: str) -> str:
@@ -112,11 +114,12 @@ def quality_level(covered: float | None, mapped: int) -> str:
     return "LOW" if mapped < 3 else "MEDIUM" if mapped < 5 and level == "GOOD" else level
 
 
-def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str] | None = None, keep: list[str] | None = None) -> tuple[DataFrame, dict]:
+def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str] | None = None, keep: list[str] | None = None, context: list[str] | None = None) -> tuple[DataFrame, dict]:
     """Flow rows in the common schema, and a report on the mapping.
 
     scope: columns that bound a batch; medians and counts are taken within it (all rows by default). keep: raw
-    columns to carry along, under the prefix raw_.
+    columns to carry along, under the prefix raw_. context: the context counts to add, of those that raw lacks (all by
+    default); the report names them all.
     """
     df = cleaned(raw)
     have = df.columns
@@ -185,9 +188,12 @@ def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str
     source = df.crossJoin(F.broadcast(median)) if median is not None and not scope else df.join(median, scope) if median is not None else df
     flat = source.select(*(scope or []), *(col(c).alias(f"raw_{c}") for c in keep or []), *(c.alias(n) for n, c in out.items()))
     base = flat
-    for name, keys in counts.items():
-        if all(k in out for k in keys):
-            flat = _with_count(flat, base, [*(scope or []), *keys], name)
+    wanted = [name for name in counts if context is None or name in context]
+    whole = {name: [*(scope or []), *counts[name]] for name in wanted if all(k in out for k in counts[name])}
+    few = _few(df.select(*(scope or []), *(out[k].alias(k) for k in sorted({k for name in whole for k in counts[name]}))), whole)
+    for name in wanted:
+        if name in whole:
+            flat = _with_count(flat, base, whole[name], name, name in few)
         else:
             flat = flat.withColumn(name, F.lit(1.0))
     final = {}
@@ -203,7 +209,7 @@ def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str
         if name not in final:
             final[name] = F.lit(value)
             derived.append(name)
-    share, missing = coverage(list(final), expected)
+    share, missing = coverage([*final, *counts], expected)
     report = {
         "schema": detect_schema(have), "input_columns": len(have), "output_columns": len(final), "mapped_columns": mapped,
         "derived_columns": sorted(set(derived)), "missing_core_features": missing, "feature_coverage": share, "level": quality_level(share, len(mapped)),
@@ -211,14 +217,24 @@ def normalize(raw: DataFrame, expected: list[str] | None = None, scope: list[str
     return flat.select(*carried, *(c.alias(n) for n, c in final.items())), report
 
 
-def _with_count(df: DataFrame, counted: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _few(df: DataFrame, counts: dict[str, list[str]]) -> set[str]:
+    """The counts that have about MOST_KEYS keys at most, told by one pass that shuffles a row a task."""
+    if not counts:
+        return set()
+    hashed = df.select(*(F.xxhash64(*k).alias(name) for name, k in counts.items()))
+    keys = hashed.agg(*(F.approx_count_distinct(name).alias(name) for name in counts)).first()
+    return {name for name in counts if keys[name] <= MOST_KEYS}
+
+
+def _with_count(df: DataFrame, counted: DataFrame, keys: list[str], name: str, few: bool) -> DataFrame:
     """df with the number of rows that share its keys, nulls being a key too.
 
-    The counts are partial aggregates joined back, so that a key with a large share of all rows is no single task.
+    The counts are partial aggregates joined back, so that a key with a large share of all rows is no single task. Where
+    keys are few, only the counts move.
     """
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name)).withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return df.join(sizes, same, "left").drop(*(f"_k_{k}" for k in keys))
+    return df.join(F.broadcast(sizes) if few else sizes, same, "left").drop(*(f"_k_{k}" for k in keys))
 
 
 def aligned(df: DataFrame, features: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def to_contract(raw: DataFrame, row: str, source: str = "cicflowmeter", source_f
     """Raw flow rows as the 32-column contract. `row` is the column that numbers the rows."""
     raw = cleaned(raw)
     have = [c for c in raw.columns if c != row]
-    flat, report = normalize(raw, keep=raw.columns)
+    flat, report = normalize(raw, keep=raw.columns, context=[])
     mapped = report["mapped_columns"]
     carried = lambda name: F.col(f"`raw_{name}`") if name else F.lit("")
     times = [c for c in (first_present(have, ["timestamp", "time", "start_time", "ts", "@timestamp"]), mapped.get("stime")) if c]

@@ -30,7 +30,7 @@ def normalize_netflow(flows: DataFrame) -> DataFrame:
     c = F.col
     raw = flows.select(c("row_id").alias("Row Id"), c("srcip").alias("SrcAddr"), c("dstip").alias("DstAddr"), c("sport").alias("srcport"), c("dsport").alias("dstport"), c("proto").alias("protocol"),
                        c("service").alias("app"), (c("dur") * 2000).alias("duration"), (c("sbytes") + c("dbytes")).alias("bytes"), (c("spkts") + c("dpkts")).alias("packets"))
-    out, report = N.normalize(raw, keep=["row_id"])
+    out, report = N.normalize(raw, keep=["row_id"], context=["ct_srv_src", "ct_dst_sport_ltm", "ct_dst_src_ltm"])
     assert report["schema"] == "netflow_or_cloud_flow"
     return out.select(c("raw_row_id").alias("row_id"), "srcip", "dstip", "proto", "service", *r6("dur", "sbytes", "dbytes"), "spkts", "dpkts", F.round("sload", 4).alias("sload"), F.round("dload", 4).alias("dload"),
                       *r6("smeansz", "sintpkt"), "sttl", "state", "ct_srv_src", "ct_dst_sport_ltm", "ct_dst_src_ltm")

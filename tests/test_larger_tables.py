@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from netloom.operators import clusters as C
+from netloom.operators import normalize as N
 from netloom.plans import registry
 from netloom.plans.frames import TABLES
 
@@ -48,3 +49,27 @@ def test_means_at_a_half_of_the_last_place(spark):
         for held in (rows, C.once(rows)):
             out = C.step(held, {"a": np.zeros((1, 1))}).first()
             assert (out.n, out.sums[0]) == (128, math.fsum(x * 2)) and out.cost == pytest.approx(sum(v * v for v in x * 2))
+
+
+def test_rows_stay_where_they_are_for_counts_of_few_keys(spark, sf, monkeypatch):
+    """Only counts move, whatever Spark takes for small; with more keys rows and counts meet by a shuffle, with the same rows."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most, joins in ((100_000, 0), (0, 3)):
+            monkeypatch.setattr(N, "MOST_KEYS", most, raising=False)
+            out = registry.queries()["normalize_netflow"](spark, sf)
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("SortMergeJoin") == joins
+            found.append(sorted(map(str, out.collect())))
+        assert found[0] == found[1] and len(found[0]) == 6000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_the_report_names_counts_that_are_left_out(spark):
+    raw = spark.createDataFrame([("a", "b", 1)], "srcaddr string, dstaddr string, srcport int")
+    (every, said), (none, told) = N.normalize(raw), N.normalize(raw, context=[])
+    assert set(every.columns) - set(none.columns) == set(N.CONTEXT_COUNTS)
+    assert {k: v for k, v in said.items() if k != "output_columns"} == {k: v for k, v in told.items() if k != "output_columns"}
