@@ -113,7 +113,9 @@ def merge_causes(df: DataFrame, stages: list[str], identity: str) -> DataFrame:
     grow with df; that serves two stages, and later ones are dealt again by identity and fingerprint.
     """
     names = [identity, *stages]
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+    rows = df.count()
+    least = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * 10 // PART_ROWS)  # no part of a few rows
+    parts = max(1, least, -(-rows // PART_ROWS))
     deal = lambda rows, *keys: rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).repartitionById(parts, "_part")
     vectors = deal(_once(df.select(*names), "_n"), *names[:2]).groupBy("_part", *names).agg(F.sum("_n").alias("_n"))  # one shuffle for all stages
     out = None
