@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import tidy
+
 
 def in_cells(members: DataFrame, keys: list[str], id_column: str, block: int, work: Callable, out_names: list[str]) -> DataFrame:
     """work(key, same, rows) for each cell; rows are (side, *other columns). Returns rows of longs.
@@ -52,4 +54,4 @@ def in_cells(members: DataFrame, keys: list[str], id_column: str, block: int, wo
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = [*keys, "_i", "_j"]
-    return cells.repartition(parts, *at).sortWithinPartitions(*at).mapInArrow(run, ", ".join(f"{n} long" for n in out_names))
+    return cells.repartition(parts, *at).sortWithinPartitions(*at).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in out_names))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from netloom.llm.bpe import ODD_SPACE, WHITE, byte_alphabet
-from netloom.llm.common import TwoGenerations
+from netloom.llm.common import TwoGenerations, freed
 
 #: A run of these is a word of its own to either pre-tokenizer.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -33,13 +33,15 @@ _WHITE = r"\s\x0b\x{85}\pZ"
 _CUT = "\x00"
 #: Texts are taken together up to so many bytes.
 BLOCK_BYTES = 8 << 20
+#: Words that a Python worker keeps, in two generations.
+CACHED_WORDS = 1_200_000
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about BLOCK_BYTES of the text column, or of one longer text."""
+def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of the text column, or of one longer text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes, dtype=np.int64) // BLOCK_BYTES
+        block = np.cumsum(sizes, dtype=np.int64) // most
         at = 0
         while at < len(block):
             to = max(at + 1, int(np.searchsorted(block, block[at], side="right")))
@@ -62,7 +64,7 @@ def strings(column: pa.Array) -> list[str]:
 
 
 class LibraryTokens:
-    def __init__(self, path: str, cached_words: int = 1_200_000):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -230,10 +232,10 @@ class LibraryTokens:
 _LOADED: dict[str, LibraryTokens] = {}
 
 
-def loaded(path: str) -> LibraryTokens:
-    """One for each file and Python worker."""
+def loaded(path: str, cached_words: int = CACHED_WORDS) -> LibraryTokens:
+    """One for each file and Python worker; it keeps as many words as its first user asks for."""
     if path not in _LOADED:
-        _LOADED[path] = LibraryTokens(path)
+        _LOADED[path] = LibraryTokens(path, cached_words)
     return _LOADED[path]
 
 
@@ -242,4 +244,4 @@ def dropped() -> None:
     if _LOADED:
         _LOADED.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        freed()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import library_tokens
 from netloom.llm.cells import in_cells
-from netloom.llm.common import TwoGenerations, discard, materialize, slices, spread_join
+from netloom.llm.common import TwoGenerations, discard, materialize, slices, spread_join, tidy
 from netloom.llm.components import components
 
 N, PERCENT = 5, 75
@@ -171,7 +171,7 @@ def sets(docs: DataFrame, n: int = N, with_keys: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_shingles long, set_id binary" + ", sketch binary, keys array<long>" * with_keys
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def hash_sets(docs: DataFrame, n: int = N) -> DataFrame:
@@ -184,7 +184,7 @@ def hash_sets(docs: DataFrame, n: int = N) -> DataFrame:
             s = [shingles(words(t), _HASHES, n).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles binary")
 
 
 def _hamming_passes(percent: int):
@@ -239,7 +239,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataF
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +269,7 @@ def links(docs: DataFrame, percent: int = PERCENT, n: int = N) -> tuple[DataFram
         left = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
         right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         sized = pairs.join(left, "a").join(right, "b").where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
-        return sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_hamming_passes(percent), "a long, b long").distinct()
+        return sized.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(tidy(_hamming_passes(percent)), "a long, b long").distinct()
 
     stars = materialize(close(shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()))
     found = materialize(_verified(stars, docs, percent, n))

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import library_tokens
-from netloom.llm.common import discard, materialize, slices
+from netloom.llm.common import discard, freed, materialize, slices, tidy
 
 LENGTH = 2048
 #: With more sources than this, a queue is a group of sources; inside it whole documents take turns by due time.
 MAX_QUEUES = 256
 #: The table of offsets goes to all executors up to so many rows, else it is joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
+#: Words that a worker keeps and bytes of texts that it takes together: two workers have to fit beside a JVM that earlier stages filled.
+CACHED_WORDS, BLOCK_BYTES = 400_000, 4 << 20
 
 
 def default_path() -> str:
@@ -51,15 +53,17 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     queue = F.coalesce(F.concat(F.lit(MARK), "source"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = library_tokens.loaded(path)
+        tokens = library_tokens.loaded(path, CACHED_WORDS)
         end = np.array([end_id], tokens.dtype).tobytes()
         chunk, seen = TaskContext.get().partitionId(), {}
-        for batch in library_tokens.blocks(batches):
+        for batch in library_tokens.blocks(batches, most=BLOCK_BYTES):
             ids = [b + end for b in tokens.encode_batch(batch.column(1))]
             counts = [len(b) // tokens.width for b in ids]
             yield _placed(batch.column(0), batch.column(2), batch.column(2), chunk, seen, counts, pa.array(ids, pa.binary()))
+            del ids
+            freed()
 
-    return materialize(docs.select("doc_id", "text", queue.alias("queue")).mapInArrow(run, PLACED))
+    return materialize(docs.select("doc_id", "text", queue.alias("queue")).mapInArrow(tidy(run), PLACED))
 
 
 PLACED = "doc_id long, source string, queue string, chunk int, before long, n_tokens long, ids binary"
@@ -112,7 +116,7 @@ def grouped(table: DataFrame, sums: DataFrame, shares: DataFrame) -> tuple[DataF
         for batch in batches:
             yield _placed(batch.column(0), batch.column(1), batch.column(2), chunk, seen, batch.column(4).to_pylist(), batch.column(5))
 
-    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, PLACED))
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), PLACED))
     return placed, shares.groupBy(group.alias("queue")).agg(F.sum("total").alias("total"), F.sum("share").alias("share"))
 
 
@@ -218,4 +222,4 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, length: int
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     joined = with_offsets(table, sums.select("queue", "chunk", "chunk_start"))
-    return joined.select("doc_id", "queue", "chunk", "before", "n_tokens", "ids", "chunk_start", "source").mapInArrow(run, schema)
+    return joined.select("doc_id", "queue", "chunk", "before", "n_tokens", "ids", "chunk_start", "source").mapInArrow(tidy(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import library_tokens
-from netloom.llm.common import slices
+from netloom.llm.common import slices, tidy
 
 #: At most so many labelled rows are learnt from, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -147,7 +147,7 @@ def statistics_frame(docs: DataFrame) -> DataFrame:
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 def held_out() -> F.Column:
@@ -173,7 +173,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.scores(x))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
@@ -186,7 +186,7 @@ def accepted(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
             x = np.array([statistics(t) for t in batch.column(place).to_pylist()], np.float64)
             yield batch.filter(pa.array(forest.scores(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import library_tokens
-from netloom.llm.common import discard, materialize, slices, spread_join
+from netloom.llm.common import discard, materialize, slices, spread_join, tidy
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -173,7 +173,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             texts = pa.array([clean(t, novelty) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -198,4 +198,4 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
