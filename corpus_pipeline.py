@@ -17,6 +17,8 @@ from netloom.llm import line_dedup, ngram_join, packing, quality, secret_scan
 from netloom.llm.common import discard, documents, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: For packing: its workers have to fit beside a JVM that the stages before have filled.
+CACHED_WORDS, BLOCK_BYTES = 400_000, 4 << 20
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, mixed by source."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached_words=CACHED_WORDS, block_bytes=BLOCK_BYTES)
 
 
 STAGES = [

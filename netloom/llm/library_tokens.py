@@ -233,9 +233,10 @@ _LOADED: dict[str, LibraryTokens] = {}
 
 
 def loaded(path: str, cached_words: int = CACHED_WORDS) -> LibraryTokens:
-    """One for each file and Python worker; it keeps as many words as its first user asks for."""
+    """One for each file and Python worker, with as many words as were asked for last."""
     if path not in _LOADED:
         _LOADED[path] = LibraryTokens(path, cached_words)
+    _LOADED[path].cache.most = cached_words // 2
     return _LOADED[path]
 
 

@@ -34,8 +34,6 @@ LENGTH = 2048
 MAX_QUEUES = 256
 #: The table of offsets goes to all executors up to so many rows, else it is joined by a shuffle.
 MAX_BROADCAST_ROWS = 200_000
-#: Words that a worker keeps and bytes of texts that it takes together: two workers have to fit beside a JVM that earlier stages filled.
-CACHED_WORDS, BLOCK_BYTES = 400_000, 4 << 20
 
 
 def default_path() -> str:
@@ -48,15 +46,15 @@ def default_path() -> str:
 MARK = "="
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, cached_words: int = library_tokens.CACHED_WORDS, block_bytes: int = library_tokens.BLOCK_BYTES) -> DataFrame:
     """doc_id, queue (one a source), chunk, before (tokens of the queue earlier in the chunk), n_tokens, ids; materialized."""
     queue = F.coalesce(F.concat(F.lit(MARK), "source"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = library_tokens.loaded(path, CACHED_WORDS)
+        tokens = library_tokens.loaded(path, cached_words)
         end = np.array([end_id], tokens.dtype).tobytes()
         chunk, seen = TaskContext.get().partitionId(), {}
-        for batch in library_tokens.blocks(batches, most=BLOCK_BYTES):
+        for batch in library_tokens.blocks(batches, most=block_bytes):
             ids = [b + end for b in tokens.encode_batch(batch.column(1))]
             counts = [len(b) // tokens.width for b in ids]
             yield _placed(batch.column(0), batch.column(2), batch.column(2), chunk, seen, counts, pa.array(ids, pa.binary()))
@@ -148,12 +146,21 @@ def served(tokens: np.ndarray, totals: np.ndarray, weights: np.ndarray) -> np.nd
         n[rows[less], drop[less]] -= 1
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, length: int = LENGTH, weights: dict[str, float] | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    path: str | None = None,
+    end_id: int = 1,
+    length: int = LENGTH,
+    weights: dict[str, float] | None = None,
+    cached_words: int = library_tokens.CACHED_WORDS,
+    block_bytes: int = library_tokens.BLOCK_BYTES,
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue (the source) of each piece.
 
     weights: target token shares by source (by default in proportion to the sources' tokens, so that all end together).
+    cached_words, block_bytes: words that a Python worker keeps and texts that it takes together; they bound its memory.
     """
-    table = tokenized(docs, path or default_path(), end_id)
+    table = tokenized(docs, path or default_path(), end_id, cached_words, block_bytes)
     width = library_tokens.loaded(path or default_path()).width
     sums = chunk_sums(table)
     by_queue = queue_shares(sums, weights)

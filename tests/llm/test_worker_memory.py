@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from netloom.llm import library_tokens, ngram_join, packing, quality
 
 
@@ -64,8 +65,11 @@ def test_memory_is_given_back(name, monkeypatch, spark):
     assert after - held() < 8
 
 
-def test_packing_keeps_fewer_words():
-    library_tokens.dropped()
-    tokens = library_tokens.loaded(packing.default_path(), packing.CACHED_WORDS)
-    assert 2 * tokens.cache.most <= 400_000
-    library_tokens.dropped()
+def test_pipeline_packs_with_fewer_words(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, **given: asked.update(given))
+    corpus_pipeline.packed(None, None, "")
+    tokens = library_tokens.loaded(packing.default_path(), asked["cached_words"])
+    assert 2 * tokens.cache.most == 400_000
+    assert asked["block_bytes"] <= 4 << 20
+    assert 2 * library_tokens.loaded(packing.default_path()).cache.most == library_tokens.CACHED_WORDS
